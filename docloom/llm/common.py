@@ -167,10 +167,17 @@ def window_hashes(x: np.ndarray, k: int) -> np.ndarray:
         length *= 2
 
 
+def sliced(batches: Iterable, rows: int) -> Iterator:
+    """Arrow batches of at most so many rows, without copies: what Python makes of one is gone before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def pieces(batches: Iterable, limit: int, *columns: str) -> Iterator[list[tuple]]:
     """Rows of Arrow batches in lists with at most ``limit`` bytes in the last column (one row at least)."""
     held, used = [], 0
-    for batch in batches:
+    for batch in sliced(batches, 256):
         cols = [batch.column(c) for c in columns]
         for row in zip(*(c.to_pylist() for c in cols), strict=True):
             n = len(row[-1]) if row[-1] is not None else 0

@@ -2,25 +2,25 @@
 
 1. Each text becomes the set of hashes (64 bits) of its 5-word shingles. Equal
    sets form a class; a class takes part once, whatever its number of copies.
-2. Tokens are put in one order for all: rare first. Two sets that are similar
-   enough share a token among the first ``n - ceil(t n) + 1`` of either. So
-   that not every token must be counted, the ``COUNTED`` part of the hash space
-   comes first, in order of document frequency, then the rest by hash: any
-   order that all documents share will do, and the prefix nearly always lies
-   within the counted part; what is missing is posted, too. Tokens are dealt
-   into bins as bytes, counted over all documents, and only those that two sets
-   or more have go back to their documents. A set whose own tokens fill its
-   prefix can have no partner.
+2. Tokens are put in one order for all: rare first, by the number of sets that
+   have them. Two sets that are similar enough share a token among the first
+   ``n - ceil(t n) + 1`` of either, so a set with that many tokens of its own
+   has no partner. This is found twice. First over all sets with a part of
+   their tokens (those under a bound of their hash, or all if they are few):
+   most sets have enough tokens of their own among these and leave. Then over
+   those that are left with all their tokens, which gives the prefixes.
+   Tokens are dealt into bins as bytes and counted over all documents there.
 3. Sets with a common prefix token are candidates, subject to the length filter
    and the positional filter; each pair is verified once, first by the suffix
    filter (the difference of the sets' counts in ``PARTS`` parts of the hash
    space bounds their symmetric difference), then exactly.
 4. Only components are wanted, so pairs inside a component needn't be looked
-   at. A few rounds pair each member of a token's list with ``PIVOTS`` members
-   that all have in common; after that, all pairs that stand in different
-   components are verified, without exception. A large group of near copies
-   costs a multiple of its size and not its square, as long as its members are
-   linked with one another; links are never capped.
+   at. A few rounds take ``FEW`` tokens of each prefix and pair the members of
+   a token's list with ``PIVOTS`` members that all have in common; after that,
+   all pairs of all prefix tokens that stand in different components are
+   verified, without exception. A large group of near copies costs a multiple
+   of its size and not its square, as long as its members are linked with one
+   another; links are never capped.
 
 Defined results: only A-Z are lower-cased; texts without words (or null) have
 the empty set, 0 shingles, and are their own component; with under 5 words the
@@ -40,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, keyed, materialize, mix64, partitions, pieces, schema
+from .common import byte_table, keyed, materialize, mix64, partitions, pieces, schema, sliced
 from .components import stars
 
-WORDS, PERCENT, COUNTED, PIVOTS, ROUNDS, PARTS = 5, 75, 0.36, 8, 3, 16
-BIN_ROWS, BATCH_BYTES = 1_000_000, 4 << 20
+WORDS, PERCENT, COUNTED, SMALL, FEW, PIVOTS, ROUNDS, PARTS = 5, 75, 0.36, 64, 5, 5, 6, 16
+BIN_ROWS, BATCH_BYTES, BLOCK_TOKENS = 1_000_000, 1 << 20, 1 << 17
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -70,7 +70,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     gap = _SPACE[x]
     edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _powers(max(23, len(x).bit_length()))
+    up, down = _powers(max(20, len(x).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[x] * up[: len(x)], dtype=np.uint64)])
     return starts, mix64((sums[ends] - sums[starts]) * down[starts])
 
@@ -119,50 +119,61 @@ def _bound(counted: float) -> np.uint64:
     return np.uint64(int(counted * 2**64))
 
 
+def _counted(s: np.ndarray, bound: np.uint64) -> np.ndarray:
+    return s if len(s) <= SMALL else s[: int(np.searchsorted(s, bound))]
+
+
 def _profile(batches, out, counted: float, k: int):
-    """A row for each document: its set's id and size, and how many of its tokens are in the counted part."""
+    """A row for each document: its set's id and size, and how many of its tokens are counted first."""
     bound = _bound(counted)
     for rows in pieces(batches, BATCH_BYTES, "doc_id", "th", "text"):
         sets = shingle_sets([r[2].encode() for r in rows], k)
-        cols = [[r[0] for r in rows], [r[1] for r in rows], [set_id(s) for s in sets], [len(s) for s in sets], [int(np.searchsorted(s, bound)) for s in sets]]
+        cols = [[r[0] for r in rows], [r[1] for r in rows], [set_id(s) for s in sets], [len(s) for s in sets], [len(_counted(s, bound)) for s in sets]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], out.names)
 
 
-def _post(batches, out, counted: float, k: int, percent: int, bins: int):
-    """Tokens to be counted, by bin: the tokens as bytes, and ids of sets with their numbers of tokens."""
+def _binned(ids: list[int], toks: list[np.ndarray], bins: int, names: list[str]) -> pa.RecordBatch:
+    """A row for each bin: the tokens as bytes, and ids of sets with their numbers of tokens."""
+    tok, doc = np.concatenate(toks), np.repeat(np.arange(len(ids)), [len(x) for x in toks])
+    where = (tok % np.uint64(bins)).astype(np.int64)
+    order = np.argsort(where, kind="stable")  # by bin, within it by document
+    tok, doc, where = tok[order], doc[order], where[order]
+    all_ids = np.array(ids, np.int64)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]])
+    cols = [[], [], [], []]
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        d = doc[a:b]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
+        cols[0].append(int(where[a]))
+        cols[1].append(tok[a:b].tobytes())
+        cols[2].append(all_ids[d[first]].tobytes())
+        cols[3].append(np.diff(np.concatenate([first, [b - a]])).astype("<u4").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names)
+
+
+def _post_texts(batches, out, counted: float, k: int, bins: int):
+    """The tokens that are counted first; a set that stands in a task again is left out."""
     bound, seen = _bound(counted), set()
     for rows in pieces(batches, BATCH_BYTES, "text"):
-        toks, ids, sizes = [], [], []
+        toks, ids = [], []
         for s in shingle_sets([r[0].encode() for r in rows], k):
-            if not len(s) or (i := set_id(s)) in seen:
-                continue
-            if len(seen) < 1_000_000:
-                seen.add(i)
-            toks.append(s[: max(int(np.searchsorted(s, bound)), prefix(len(s), percent))])
-            ids.append(i)
-            sizes.append(len(toks[-1]))
-        if not toks:
-            continue
-        tok, doc = np.concatenate(toks), np.repeat(np.arange(len(ids)), sizes)
-        where = (tok % np.uint64(bins)).astype(np.int64)
-        order = np.argsort(where, kind="stable")  # by bin, within it by document
-        tok, doc, where = tok[order], doc[order], where[order]
-        ids = np.array(ids, np.int64)
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]])
-        cols = [[], [], [], []]
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            d = doc[a:b]
-            first = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
-            cols[0].append(int(where[a]))
-            cols[1].append(tok[a:b].tobytes())
-            cols[2].append(ids[d[first]].tobytes())
-            cols[3].append(np.diff(np.concatenate([first, [b - a]])).astype(np.uint16 if b - a < 65536 else np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], out.names)
+            if len(s) and (i := set_id(s)) not in seen:
+                if len(seen) < 1_000_000:
+                    seen.add(i)
+                toks.append(_counted(s, bound))
+                ids.append(i)
+        if toks and sum(map(len, toks)):
+            yield _binned(ids, toks, bins, out.names)
+
+
+def _post_sets(batches, out, bins: int):
+    for rows in pieces(batches, 4 << 20, "rid", "set"):
+        yield _binned([r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows], bins, out.names)
 
 
 def _numbers(toks: bytes, ids: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
-    return np.frombuffer(toks, np.uint64), np.repeat(i, np.frombuffer(sizes, np.uint16 if len(sizes) == 2 * len(i) else np.uint32).astype(np.int64))
+    return np.frombuffer(toks, np.uint64), np.repeat(i, np.frombuffer(sizes, "<u4"))
 
 
 def _merge(values: np.ndarray, counts: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,11 +185,13 @@ def _merge(values: np.ndarray, counts: np.ndarray, new: np.ndarray) -> tuple[np.
     return out, np.bincount(at, np.concatenate([counts, c])).astype(np.int64)
 
 
-def _shared(batches, out, flush: int = 2_000_000):
-    """Of a bin's postings, those with a token that two sets or more have, and the number of its postings.
+def _shared(batches, out, tokens: bool, bins: int, flush: int = 500_000):
+    """Of a bin's postings, those with a token that two sets or more have, packed for the sets' own bins.
 
-    Memory holds the bin's different tokens; the postings wait in a temporary
-    file, so a token of a great many documents takes no more than any other.
+    A row has ids of sets with their numbers of such tokens, and if wanted the
+    tokens with their numbers of postings. Memory holds the bin's different
+    tokens; the postings wait in a temporary file, so a token of a great many
+    documents takes no more than any other.
     """
     values, counts, held, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
     with tempfile.SpooledTemporaryFile(max_size=32 << 20) as spool:
@@ -195,26 +208,100 @@ def _shared(batches, out, flush: int = 2_000_000):
         twice = counts > 1
         values, counts = values[twice], counts[twice]
         spool.seek(0)
+        hits, n = [], 0
         while len(values) and (head := spool.read(24)):
             a, b, c = np.frombuffer(head, np.int64).tolist()
             tok, doc = _numbers(spool.read(a), spool.read(b), spool.read(c))
             at = np.searchsorted(values, tok)
             at[at == len(values)] = 0
             hit = values[at] == tok
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(tok[hit].view(np.int64)), pa.array(counts[at[hit]].astype(np.int64))], out.names)
+            hits.append((doc[hit], tok[hit], counts[at[hit]]))
+            n += int(hit.sum())
+            if n >= flush:
+                yield from _packed(hits, tokens, bins, out.names)
+                hits, n = [], 0
+        if n:
+            yield from _packed(hits, tokens, bins, out.names)
+
+
+def _packed(hits: list, tokens: bool, bins: int, names: list[str]):
+    doc, tok, df = (np.concatenate(x) for x in zip(*hits, strict=True))
+    where = (doc.view(np.uint64) % np.uint64(bins)).astype(np.int64)
+    order = np.lexsort((doc, where))
+    doc, tok, df, where = doc[order], tok[order], df[order], where[order]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]])
+    cols = [[], [], [], [], []]
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        ids, sizes = np.unique(doc[a:b], return_counts=True)
+        row = (int(where[a]), ids.tobytes(), sizes.astype("<u4").tobytes(), tok[a:b].tobytes() if tokens else None, np.minimum(df[a:b], 2**32 - 1).astype("<u4").tobytes() if tokens else None)
+        for c, v in zip(cols, row, strict=True):
+            c.append(v)
+    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names)
+
+
+def _sums(batches, out):
+    """Sets with their numbers of shared tokens, from all the bins of tokens."""
+    ids, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        for i, n in zip(batch.column("ids").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+            both, at = np.unique(np.concatenate([ids, np.frombuffer(i, np.int64)]), return_inverse=True)
+            ids, sums = both, np.bincount(at, np.concatenate([sums, np.frombuffer(n, "<u4")]), len(both)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], out.names)
+
+
+def _post_sizes(batches, out, bins: int):
+    """The sizes of sets, packed like tokens: a row with no tokens, and sizes in the place of their numbers."""
+    for batch in batches:
+        ids, n = batch.column("rid").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
+        where = (ids.view(np.uint64) % np.uint64(bins)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        ids, n, where = ids[order], n[order], where[order]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]]) if len(ids) else np.zeros(1, int)
+        rows = [(int(where[a]), ids[a:b].tobytes(), n[a:b].astype("<u4").tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        cols = [list(c) for c in zip(*rows, strict=True)] or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), *[pa.array([None] * len(rows), pa.binary())] * 2], out.names)
+
+
+def _prefixes(batches, out, percent: int):
+    """The shared tokens of each set's prefix with their places, rare first. A bin of sets holds all that its sets share."""
+    got, known = [], []
+    for batch in batches:
+        for i, n, t, d in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "toks", "dfs")), strict=True):
+            ids, n = np.frombuffer(i, np.int64), np.frombuffer(n, "<u4").astype(np.int64)
+            if t is None:
+                known.append((ids, n))
+            else:
+                got.append((np.repeat(ids, n), np.frombuffer(t, np.uint64), np.frombuffer(d, "<u4")))
+    if not got:
+        return
+    ids, sizes = (np.concatenate(x) for x in zip(*known, strict=True))
+    by_id = np.argsort(ids)
+    ids, sizes = ids[by_id], sizes[by_id]
+    doc, tok, df = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((tok, df, doc))
+    doc, tok = doc[order], tok[order]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])
+    shared = np.diff(np.concatenate([first, [len(doc)]]))
+    size = sizes[np.searchsorted(ids, doc[first])]
+    place = np.arange(len(doc)) - np.repeat(first - (size - shared), shared)  # behind the tokens that are the set's own
+    n = np.repeat(size, shared)
+    keep = place < n + percent * -n // 100 + 1
+    doc, tok, n, place = doc[keep], tok[keep], n[keep], place[keep]
+    for at in range(0, len(doc), 100_000):
+        part = slice(at, at + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(tok[part].view(np.int64)), pa.array(doc[part]), pa.array(n[part].astype(np.int32)), pa.array(place[part].astype(np.int32))], out.names)
 
 
 def _sets(batches, out, k: int):
     for rows in pieces(batches, BATCH_BYTES, "rid", "text"):
         sets = shingle_sets([r[1].encode() for r in rows], k)
         parts = [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=PARTS).astype("<i4").tobytes() for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(parts, pa.binary())], out.names)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(parts, pa.binary())], out.names)
 
 
 def _linked(batches, out, percent: int):
     """The pairs whose sets are similar enough."""
-    for batch in batches:
+    for batch in sliced(batches, 256):
         keep = []
         for sa, sb, pa_, pb in zip(*(batch.column(c).to_pylist() for c in ("set_a", "set_b", "parts_a", "parts_b")), strict=True):
             total = (len(sa) + len(sb)) // 8
@@ -238,14 +325,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(percent: int):
-    """The length and positional filters on a common token: x is at place pos of n in one set, y in the other.
-
-    A token outside the counted part has no known place, and passes the second.
-    """
+    """The length and positional filters on a common token: x is at place pos of n in one set, y in the other."""
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100 + percent))
     most = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
-    return (small * 100 >= large * percent) & F.coalesce(most >= need, F.lit(True))
+    return (small * 100 >= large * percent) & (most >= need)
 
 
 def _ordered(x: DataFrame) -> DataFrame:
@@ -263,65 +347,107 @@ def _placed(lists: DataFrame, labels: DataFrame) -> DataFrame:
 def links(docs: DataFrame, profile: DataFrame, k: int, percent: int, counted: float) -> DataFrame | None:
     """Stars (a, b) over the ids of sets: every set in a component of two or more, with the component's least id."""
     spark = docs.sparkSession
-    size = F.greatest(F.col("k"), F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1)
     classes = materialize(profile.filter("n > 0").groupBy("rid").agg(F.min("n").alias("n"), F.min("k").alias("k"), F.min(F.struct("doc_id", "th")).alias("rep")), "classes")
-    postings = classes.agg(F.sum(size)).first()[0] or 0
-    bins = max(partitions(spark), -(-int(postings) // BIN_ROWS))
-    p = schema("bin int, toks binary, ids binary, sizes binary")
-    posted = docs.select("text").mapInArrow(lambda b: _post(b, p, counted, k, percent, bins), p).repartition(bins, "bin")
-    q = schema("rid long, token long, df long")
-    shared = posted.mapInArrow(lambda b: _shared(b, q), q)
-    # The counted part comes first, by frequency. Tokens are unsigned numbers that Spark sees as signed ones.
-    bound = int(_bound(counted))
-    beyond = (F.col("token") < 0) | (F.col("token") >= bound) if bound < 2**63 else (F.col("token") < 0) & (F.col("token") >= bound - 2**64)
-    over = F.when(beyond, 1).otherwise(0)
-    item = F.struct(over.alias("over"), F.when(over == 1, 0).otherwise(F.col("df")).alias("df"), F.col("token").alias("token"))
-    lists = shared.groupBy("rid").agg(F.sort_array(F.collect_set(item)).alias("items")).join(classes, "rid")
-    pre = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    su = F.size(F.filter("items", lambda x: x["over"] == 0))
-    take = F.when(F.col("k") < pre, F.size("items")).otherwise(F.greatest(F.lit(0), pre - F.col("k") + su))
-    lists = lists.select("rid", "n", "rep", (F.col("k") - su).alias("own"), F.posexplode(F.slice("items", F.lit(1), take.cast("int"))).alias("i", "item"))
-    lists = materialize(lists.select(F.col("item.token").alias("token"), "rid", "n", F.when(F.col("item.over") == 0, F.col("own") + F.col("i")).alias("pos"), "rep"), "prefixes")
+    need = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    binned = schema("bin int, toks binary, ids binary, sizes binary")
+
+    def bins(postings: int | None) -> int:
+        return max(partitions(spark), -(-int(postings or 0) // BIN_ROWS))
+
+    n = bins(classes.agg(F.sum("k")).first()[0])
+    posted = docs.select("text").mapInArrow(lambda b: _post_texts(b, binned, counted, k, n), binned).repartition(n, "bin")
+    packed, c = schema("bin int, ids binary, sizes binary, toks binary, dfs binary"), schema("rid long, shared long")
+    counts = posted.mapInArrow(lambda b: _shared(b, packed, False, n), packed).select("bin", "ids", "sizes").repartition(n, "bin").mapInArrow(lambda b: _sums(b, c), c)
+    left = classes.join(counts.hint("merge"), "rid", "left").filter(F.col("k") - F.coalesce("shared", F.lit(0)) < need)
+    left = materialize(left.select("rid", "n", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t")), "left")
+    s = schema("rid long, n int, set binary, parts binary")
+    # A merge join at every size: at scale these ids are too many to send to all.
+    texts = docs.join(left.hint("merge"), docs["doc_id"].eqNullSafe(F.col("d")) & (docs["th"] == F.col("t"))).select("rid", "text").dropDuplicates(["rid"])
+    sets = materialize(texts.mapInArrow(lambda b: _sets(b, s, k), s), "sets")
+    m = bins(sets.agg(F.sum("n")).first()[0])
+    q = schema("token long, rid long, n int, pos int")
+    shared = sets.select("rid", "set").mapInArrow(lambda b: _post_sets(b, binned, m), binned).repartition(m, "bin").mapInArrow(lambda b: _shared(b, packed, True, m), packed)
+    # The sets' sizes go the same way as their tokens.
+    sizes = sets.select("rid", "n").mapInArrow(lambda b: _post_sizes(b, packed, m), packed)
+    lists = materialize(shared.unionByName(sizes).repartition(m, "bin").mapInArrow(lambda b: _prefixes(b, q, percent), q), "prefixes")
     several = lists.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
     lists = materialize(lists.join(several.select("token"), "token", "left_semi"), "lists")
-    reps = materialize(lists.groupBy("rid").agg(F.first("rep").alias("rep")).select("rid", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t")), "candidates")
-    s = schema("rid long, set binary, parts binary")
-    texts = docs.join(reps, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["th"] == F.col("t"))).select("rid", "text").dropDuplicates(["rid"])
-    sets = materialize(texts.mapInArrow(lambda b: _sets(b, s, k), s), "sets")
-    lists = lists.select("token", "rid", "n", "pos")
+    # For the first rounds: the few tokens of each prefix that a hash puts first, which sets alike mostly have in common.
+    some = lists.groupBy("rid").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("token").alias("h"), "token", "n", "pos"))), 1, FEW).alias("few"))
+    few = materialize(some.select("rid", F.explode("few").alias("x")).select("x.token", "rid", "x.n", "x.pos"), "few")
 
     def seeded(seed: int):
         return F.xxhash64(F.lit(seed), "rid")
 
-    labels = done = None
-    left = None
+    labels = done = strays = None
     for turn in range(ROUNDS):
-        members = lists if labels is None else _placed(lists, labels)
-        stray = members if labels is None else members.filter("comp <> main")
+        members = few if labels is None else _placed(few, labels)
+        stray = members
         if labels is not None:
-            stray = materialize(stray, "stray")
+            stray = materialize(members.filter("comp <> main"), "stray")
             now = stray.select("rid").distinct().count()
-            if now == 0 or (left is not None and now * 2 > left):
+            if now == 0 or (strays is not None and now * 4 > strays * 3):
                 break
-            left = now
+            strays = now
         pool = members if labels is None else members.filter("comp = main")
         row = F.struct("rid", "n", "pos")
         pivots = pool.groupBy("token").agg(*[F.min_by(row, seeded(turn * PIVOTS + i)).alias(f"p{i}") for i in range(PIVOTS)])
         pivots = pivots.select("token", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}") for i in range(PIVOTS)]))).alias("p")).select("token", "p.rid", "p.n", "p.pos")
         pairs = _ordered(stray.alias("x").join(pivots.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rid") != F.col("y.rid")) & _possible(percent)))
-        pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         edges = materialize(_verify(pairs, sets, percent), "links")
         done = pairs if done is None else done.unionByName(pairs)
         labels = stars(edges if labels is None else labels.unionByName(edges))
     # What is left: every pair of a list that stands in two components, whichever they are.
-    members = _placed(lists, labels)
-    stray = members.filter("comp <> main")
-    # Two strays meet once, in the order of their ids; a stray meets each member of the main component.
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid"))) & _possible(percent)
-    pairs = _ordered(stray.alias("x").join(members.alias("y"), on)).join(done, ["a", "b"], "left_anti")
-    edges = _verify(materialize(pairs, "pairs"), sets, percent)
-    return stars(labels.unionByName(edges))
+    return stars(labels.unionByName(_across(_placed(lists, labels), sets, percent)))
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between rows of one list that stand in different components.
+
+    Of two such rows one isn't in the list's largest component. So for each
+    component that is the largest of some lists, the strays of these lists are
+    compared with all rows of these lists, in blocks of a bounded number of
+    tokens: no row is made for a pair, only for two blocks and for a link.
+    """
+    out = schema("a long, b long")
+    rows = members.select(F.col("main").alias("c"), "rid", "n", "comp", (F.col("comp") != F.col("main")).alias("stray")).distinct()
+    rows = materialize(rows, "strays")
+
+    def blocks(x: DataFrame, tokens: int, name: str) -> DataFrame:
+        count = x.groupBy("c").agg(F.ceil(F.sum("n") / F.lit(tokens)).alias("blocks"))
+        y = x.join(count, "c").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+        y = y.join(sets.select("rid", "set"), "rid")
+        return y.groupBy("c", "block").agg(F.collect_list(F.struct("rid", "comp", "set")).alias(name)).drop("block")
+
+    one = materialize(blocks(rows.filter("stray"), BLOCK_TOKENS // 4, "x"), "stray-blocks")
+    two = materialize(blocks(rows, BLOCK_TOKENS, "y"), "blocks")
+    return one.join(two, "c").select("x", "y").mapInArrow(lambda b: _compare(b, out, percent), out)
+
+
+def _compare(batches, out, percent: int):
+    """Links between two blocks: for each set of the first, the tokens it has in common with every set of the second."""
+    for batch in sliced(batches, 1):
+        for r in batch.to_pylist():
+            y = [np.frombuffer(v["set"], np.uint64) for v in r["y"]]
+            ids, comps, sizes = np.array([v["rid"] for v in r["y"]]), np.array([v["comp"] for v in r["y"]]), np.array([len(v) for v in y])
+            tok, owner = np.concatenate(y), np.repeat(np.arange(len(y)), sizes)
+            order = np.argsort(tok, kind="stable")
+            tok, owner = tok[order], owner[order]
+            a, b = [], []
+            for v in r["x"]:
+                x = np.frombuffer(v["set"], np.uint64)
+                common = np.zeros(len(y), np.int64)
+                for at in range(0, len(x), 4096):
+                    part = x[at : at + 4096]
+                    low, high = np.searchsorted(tok, part), np.searchsorted(tok, part, "right")
+                    n = high - low
+                    where = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+                    common += np.bincount(owner[where], minlength=len(y))
+                hit = (100 * common >= percent * (len(x) + sizes - common)) & (comps != v["comp"])
+                b += ids[hit].tolist()
+                a += [v["rid"]] * int(hit.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], out.names)
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, counted: float | None = None) -> DataFrame:
