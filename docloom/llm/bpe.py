@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 
 from .common import mix64, pieces, schema, text_of
 
-STORE_BYTES, WORD_BYTES = 32 << 20, 96 << 20
-BATCH_BYTES = 4 << 20
+STORE_BYTES, WORD_BYTES = 16 << 20, 56 << 20
+BATCH_BYTES = 1 << 20
 _SPACE = re.compile(r"[ \t-\r]")
 _WINDOW, _BITS, _MIN, _MAX = 16, 7, 64, 2048
 

@@ -33,7 +33,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 6000, 3000
 BUCKETS, SHAPES, DIM, NONZERO, HIDDEN, CONTEXT = 1 << 15, 1 << 11, 96, 6, 24, 2
 TWIN = BUCKETS + SHAPES
 THRESHOLD = 0.3
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 KNOWN = 200_000
 _RUNS = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^a-zA-Z0-9\x80-\xff])\1+"), rb"\1\1")]
 

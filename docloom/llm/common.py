@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -18,6 +20,8 @@ from pyspark.sql.window import Window
 #: A word everywhere in this subpackage: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_ROWS = 500
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -31,6 +35,9 @@ def ship(spark: SparkSession) -> None:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
         sc.addPyFile(str(to))
+        # Rows here are whole texts: ten thousand in a batch would fill a worker's memory, and the JVM's buffers.
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         sc._docloom_shipped = to
 
 
@@ -167,11 +174,21 @@ def window_hashes(x: np.ndarray, k: int) -> np.ndarray:
         length *= 2
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system; workers live on, and executors are small."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches: Iterable, rows: int) -> Iterator:
     """Arrow batches of at most so many rows, without copies: what Python makes of one is gone before the next."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
 
 
 def pieces(batches: Iterable, limit: int, *columns: str) -> Iterator[list[tuple]]:

@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pieces, schema, text_of
+from .common import pieces, schema, sliced, text_of
 
 SAMPLE_DOCS, SLICE, DICT_BYTES, BLOCK, SHORT, MIN_MARGIN = 96, 1200, 96 << 10, 2048, 600, 0.002
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 _LETTER, _NO_LETTERS = regex.compile(r"\p{L}"), re.compile(r"[\W\d_]+")
 
 
@@ -126,7 +126,7 @@ def keep_identified(docs: DataFrame, content: dict[str, bytes], min_margin: floa
 
     def run(batches):
         model = Identifier(content)
-        for batch in batches:
+        for batch in sliced(batches, 256):
             keep = []
             for text in batch.column("text").to_pylist():
                 lang, _, margin = model.predict(text or "")

@@ -31,7 +31,7 @@ from .common import pieces, schema, text_of
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT_SHARE = 8, 20, 30, 0.5
 SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS = 1500, 6000, 150
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _SPACES = b" \t\n\x0b\x0c\r"
 _NOT_LEADING = _SPACES + bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"

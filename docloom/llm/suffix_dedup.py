@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, discard, keyed, materialize, schema, window_hashes
+from .common import byte_table, discard, keyed, materialize, schema, sliced, window_hashes
 
 MIN_LEN, GROUP, BLOCK = 400, 16, 1 << 20
 _RANK = "r1 long, r2 long"
@@ -99,7 +99,7 @@ def runs(texts: list[bytes], min_len: int = MIN_LEN, block: int = BLOCK):
 
 
 def _anchors(batches, min_len: int, out):
-    for batch in batches:
+    for batch in sliced(batches, 512):
         ids, ths, texts = batch.column("doc_id"), batch.column("th"), batch.column("text").cast(pa.binary()).to_pylist()
         for i, first, last, anchor, h in runs(texts, min_len):
             d = _digests([texts[n][a : b + min_len] for n, a, b in zip(i.tolist(), first.tolist(), last.tolist(), strict=True)])
@@ -110,7 +110,7 @@ def _anchors(batches, min_len: int, out):
 
 def _stretches(batches, min_len: int, out):
     """The bytes that the listed runs cover, cut out of the texts."""
-    for batch in batches:
+    for batch in sliced(batches, 32):
         for r in batch.to_pylist():
             text = r["text"].encode()
             rows = [(r["doc_id"], r["th"], x["first"], x["n"], x["at"], x["g"], text[x["first"] : x["first"] + x["n"] + min_len]) for x in r["runs"]]
@@ -124,7 +124,7 @@ def _groups(batches, min_len: int, out):
 
     A run that has a group only in part still has all that the group's windows share, but no rank of the whole.
     """
-    for batch in batches:
+    for batch in sliced(batches, 256):
         rows, shared, united = [], [], []
         for r in batch.to_pylist():
             s, at, n = r["bytes"], r["at"], r["n"]
@@ -145,7 +145,7 @@ def _groups(batches, min_len: int, out):
 
 
 def _singles(batches, min_len: int, out):
-    for batch in batches:
+    for batch in sliced(batches, 256):
         rows, parts = [], []
         for r in batch.to_pylist():
             s, at = r["bytes"], r["at"]
@@ -160,8 +160,11 @@ def _singles(batches, min_len: int, out):
 
 
 def _repeated(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The keys that stand twice or more; counted before they are shuffled, so a frequent one is no burden."""
-    return rows.groupBy(*key).agg(F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    """The keys that stand twice or more; counted before they are shuffled, so a frequent one is no burden.
+
+    They are written before rows are joined with them: adaptive execution can split a frequent key's rows only then.
+    """
+    return materialize(rows.groupBy(*key).agg(F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "repeated")
 
 
 def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
@@ -225,7 +228,7 @@ def remove(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     out = schema("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 256):
             ids, texts, spans = batch.column("doc_id"), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()
             n, gone, pieces, digests, left = [], [], [], [], []
             for text, s in zip(texts, spans, strict=True):
@@ -272,7 +275,7 @@ def strip(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     found = keys.join(spans, keys["doc_id"].eqNullSafe(F.col("__d")) & (keys["th"] == F.col("__t")), "left").select(*names, "spans")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 256):
             texts = batch.column(text).to_pylist()
             kept = [t if not s else cut_text(t, covered([(x["first"], x["last"]) for x in s], min_len)) for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
             cols = {c: batch.column(c) for c in names} | {text: pa.array(kept, pa.string())}

@@ -35,7 +35,7 @@ from .common import pieces, schema, text_of
 #: Pre-tokens to go back before an edit: white space ends one character short of a word, and looks one ahead.
 CONTEXT = 2
 KNOWN = 400_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 class Tokenizer:
@@ -182,7 +182,7 @@ def sample_edits(seed: str = "edit-1") -> object:
 
     They stand for an annotator's changes where a table has none of its own.
     """
-    n = F.char_length("text")
+    n = F.char_length(F.coalesce("text", F.lit("")))
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
 
     def one(k: int, length: int, new: str):

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, partitions, schema
+from .common import materialize, partitions, schema, sliced
 
 SHARD, QUERIES, PROBE_STEP = 4096, 1024, 16
 
@@ -137,7 +137,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, shard: int = SHARD,
     out = schema("query_id long, vec_id long, score long")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for r in batch.to_pylist():
                 found = maxscore(_matrix(r["q_ids"], r["q_matrix"], r["q_dim"], r["q_n"]), _matrix(r["ids"], r["matrix"], r["dim"], r["n"]), k)
                 cols = list(zip(*found, strict=True)) or [[], [], []]
