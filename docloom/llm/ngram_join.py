@@ -476,4 +476,4 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
     gone = found.filter("doc_id is not null and component_id is not null").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
     gone = materialize(gone, "gone")
     th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("__d")) & (th == F.col("__t")), "left_anti")
+    return docs.join(gone.hint("merge"), (docs["doc_id"].cast("long") == F.col("__d")) & (th == F.col("__t")), "left_anti")

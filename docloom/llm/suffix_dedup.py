@@ -183,7 +183,8 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     todo = open_runs.select("doc_id", "th", "first", "n", "at", "g").unionByName(partner.join(contested, "g", "left_semi"))
     by_doc = materialize(todo.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "n", "at", "g")).alias("runs")), "open")
     texts = docs.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "text")
-    found = by_doc.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["doc_id", "th"])
+    # A merge join at every size, as below: at scale the list of documents is too large to send to all.
+    found = by_doc.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["doc_id", "th"])
     s = schema(f"{cols}, bytes binary")
     stretches = materialize(found.select("doc_id", "th", "runs", "text").mapInArrow(lambda b: _stretches(b, min_len, s), s), "stretches")
     g = schema("doc_id long, th long, first long, at int, g long, c int, far int, near int, u1 long, u2 long, c1 long, c2 long")
@@ -220,7 +221,7 @@ def covered(spans: list[tuple[int, int]], min_len: int) -> list[tuple[int, int]]
 def _with_spans(docs: DataFrame, min_len: int) -> DataFrame:
     spans = repeated_spans(docs, min_len).groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = materialize(spans, "spans").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "spans")
-    return docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__d")) & (docs["th"] == F.col("__t")), "left").drop("__d", "__t")
+    return docs.join(spans.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__d")) & (docs["th"] == F.col("__t")), "left").drop("__d", "__t")
 
 
 def remove(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
@@ -272,7 +273,7 @@ def strip(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     keys = renamed.withColumns({"doc_id": F.col(doc_id).cast("long"), "text": F.coalesce(F.col(text), F.lit("")), "th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     spans = repeated_spans(keys.select("doc_id", "text", "th"), min_len).groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = materialize(spans, "spans").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "spans")
-    found = keys.join(spans, keys["doc_id"].eqNullSafe(F.col("__d")) & (keys["th"] == F.col("__t")), "left").select(*names, "spans")
+    found = keys.join(spans.hint("merge"), keys["doc_id"].eqNullSafe(F.col("__d")) & (keys["th"] == F.col("__t")), "left").select(*names, "spans")
 
     def run(batches):
         for batch in sliced(batches, 256):
