@@ -159,12 +159,14 @@ def _singles(batches, min_len: int, out):
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(d[:, 0]), pa.array(d[:, 1])], out.names)
 
 
-def _repeated(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The keys that stand twice or more; counted before they are shuffled, so a frequent one is no burden.
+def _repeated(rows: DataFrame, key: list[str], *one: str) -> DataFrame:
+    """The keys that stand twice or more, and with ``one`` those columns of one copy of each, as ``x``.
 
-    They are written before rows are joined with them: adaptive execution can split a frequent key's rows only then.
+    They are aggregated before they are shuffled, so a frequent one is no burden, and written before rows
+    are joined with them: adaptive execution can split a frequent key's rows only then.
     """
-    return materialize(rows.groupBy(*key).agg(F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "repeated")
+    copy = [F.min(F.struct(*one)).alias("x")] if one else []
+    return materialize(rows.groupBy(*key).agg(F.count("*").alias("copies"), *copy).filter("copies > 1").drop("copies"), "repeated")
 
 
 def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
@@ -174,11 +176,11 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     anchors = materialize(docs.mapInArrow(lambda b: _anchors(b, min_len, a), a), "anchors")
     shared = materialize(anchors.join(_repeated(anchors, ["g"]), "g", "left_semi"), "shared")
     discard(anchors)
-    whole = _repeated(shared, ["r1", "r2", "g"])
+    whole = _repeated(shared, ["r1", "r2", "g"], "doc_id", "th", "first", "n", "at")
     settled = shared.join(whole, ["r1", "r2", "g"], "left_semi").select("doc_id", "th", "first", (F.col("first") + F.col("n")).alias("last"))
     open_runs = shared.join(whole, ["r1", "r2", "g"], "left_anti")
     # One copy of each whole stretch stands for its settled runs among those still open: they are partners, too.
-    partner = shared.join(whole, ["r1", "r2", "g"], "left_semi").groupBy("g", "r1", "r2").agg(F.min(F.struct("doc_id", "th", "first", "n", "at")).alias("x")).select("x.*", "g")
+    partner = whole.select("x.*", "g")
     contested = open_runs.select("g").distinct()
     todo = open_runs.select("doc_id", "th", "first", "n", "at", "g").unionByName(partner.join(contested, "g", "left_semi"))
     by_doc = materialize(todo.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "n", "at", "g")).alias("runs")), "open")
@@ -190,11 +192,12 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     g = schema("doc_id long, th long, first long, at int, g long, c int, far int, near int, u1 long, u2 long, c1 long, c2 long")
     groups = materialize(stretches.mapInArrow(lambda b: _groups(b, min_len, g), g), "groups")
     common = groups.join(_repeated(groups, ["g", "c", "c1", "c2"]), ["g", "c", "c1", "c2"], "left_semi")
-    united = _repeated(groups.filter("u1 is not null"), ["g", "c", "u1", "u2"])
+    united = _repeated(groups.filter("u1 is not null"), ["g", "c", "u1", "u2"], "doc_id", "th", "first", "far", "near")
     settled_groups = common.join(united, ["g", "c", "u1", "u2"], "left_semi")
     # One copy of each settled group takes part in the last round, as a partner of windows in groups that aren't settled.
+    # Where the bytes that any window has are equal, so are those that all share: each such group is in ``common``.
     unsettled = common.join(united, ["g", "c", "u1", "u2"], "left_anti").select("doc_id", "th", "first", "far", "near", "g", "c")
-    partner = settled_groups.groupBy("g", "c", "u1", "u2").agg(F.min(F.struct("doc_id", "th", "first", "far", "near")).alias("x")).select("x.*", "g", "c")
+    partner = united.select("x.*", "g", "c")
     partner = partner.join(unsettled.select("g", "c").distinct(), ["g", "c"], "left_semi").select("doc_id", "th", "first", "far", "near", "g", "c")
     rest = unsettled.unionByName(partner).groupBy("doc_id", "th", "first").agg(F.collect_list(F.struct("far", "near")).alias("groups"))
     rest = rest.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("first").alias("f"), "groups")
