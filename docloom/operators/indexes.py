@@ -75,18 +75,40 @@ def failed(stats: DataFrame, over: int = FAIL_OVER, ratio: float = FAIL_RATIO) -
 
 
 class Catalog:
-    """Definitions by id, with state. Positions and failures are kept beside them."""
+    """Definitions by id, with state. Positions and failures are kept beside them.
 
-    def __init__(self) -> None:
+    ``rows`` are what an earlier catalog gave to ``save``, the last of each id;
+    every change is saved as a row of its own.
+    """
+
+    def __init__(self, rows: Iterable[dict] = (), save: Callable[[dict], None] | None = None) -> None:
         self._defs: dict[str, IndexDef] = {}
         self._state: dict[str, dict] = {}
+        self._save, self._at = save, 0
+        for r in rows:
+            self._at = max(self._at, r["at"])
+            if not r["deleted"]:
+                self._defs[r["id"]] = IndexDef(r["id"], tuple((f["name"], f["expression"]) for f in r["fields"]), r["condition"])
+                self._state[r["id"]] = {"version": r["version"], "last_seq": r["last_seq"], "failed": r["failed"]}
+
+    def _changed(self, index: IndexDef, state: dict, deleted: bool = False) -> None:
+        self._at += 1
+        if self._save is not None:
+            fields = [{"name": f, "expression": e} for f, e in index.fields]
+            self._save({"id": index.id, "at": self._at, "fields": fields, "condition": index.where, **state, "deleted": deleted})
 
     def put(self, index: IndexDef) -> None:
         """A definition that changes starts from the beginning of the log, as a new version."""
+        if self._defs.get(index.id) == index:
+            return
         version = self._state.get(index.id, {}).get("version", 0)
-        if self._defs.get(index.id) != index:
-            self._state[index.id] = {"version": version + 1, "last_seq": 0, "failed": False}
         self._defs[index.id] = index
+        self._set(index.id, version=version + 1, last_seq=0, failed=False)
+
+    def _set(self, id: str, **state: object) -> None:
+        index = self.get(id)
+        self._state[id] = self._state.get(id, {}) | state
+        self._changed(index, self._state[id])
 
     def get(self, id: str) -> IndexDef:
         if id not in self._defs:
@@ -98,7 +120,8 @@ class Catalog:
         return dict(self._state[id])
 
     def delete(self, id: str) -> None:
-        self.get(id)
+        index = self.get(id)
+        self._changed(index, self._state[id], deleted=True)
         del self._defs[id], self._state[id]
 
     def ids(self) -> list[str]:
@@ -106,12 +129,14 @@ class Catalog:
         return [DEFAULT, *sorted(self._defs)]
 
     def mark_failed(self, id: str) -> None:
-        self.get(id)
-        self._state[id]["failed"] = True
+        self._set(id, failed=True)
+
+    def is_failed(self, id: str) -> bool:
+        return self.metadata(id)["failed"]
 
     def advance(self, id: str, seq: int) -> None:
-        self._state[id]["last_seq"] = max(seq, self._state[id]["last_seq"])
+        if seq > self.metadata(id)["last_seq"]:
+            self._set(id, last_seq=seq)
 
     def reset(self, id: str) -> None:
-        self.get(id)
-        self._state[id] |= {"last_seq": 0, "failed": False}
+        self._set(id, last_seq=0, failed=False)

@@ -12,6 +12,9 @@ from ..operators import changelog
 
 LOG = "id string, seq bigint, doc string, deleted boolean, history map<string,bigint>"
 CONFLICTS = LOG
+CLEARED = "id string, seq bigint"
+INDEXES = "id string, at bigint, fields array<struct<name string, expression string>>, condition string, version bigint, last_seq bigint, failed boolean, deleted boolean"
+TABLES = {"log": LOG, "conflicts": CONFLICTS, "cleared": CLEARED, "indexes": INDEXES}
 
 
 class Store:
@@ -54,6 +57,13 @@ class Store:
     def rows(self, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, LOG)
 
+    def indexes(self) -> list[dict]:
+        """The last row of each index definition that was saved; as many as there are indexes."""
+        return []
+
+    def append_index(self, row: dict) -> None:
+        """Save a row of the catalog. What is in memory only has nothing to save."""
+
 
 class MemoryStore(Store):
     """For tests and small working sets: rows are kept in the driver."""
@@ -85,12 +95,12 @@ class ParquetStore(Store):
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark)
         self.path = path.rstrip("/")
-        for name in ("log", "conflicts", "cleared"):
+        for name in TABLES:
             # An empty append makes the directory and its schema.
             self._rows_of(name).write.mode("append").parquet(f"{self.path}/{name}")
 
     def _rows_of(self, name: str) -> DataFrame:
-        return self.spark.createDataFrame([], "id string, seq bigint" if name == "cleared" else LOG)
+        return self.spark.createDataFrame([], TABLES[name])
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(self._rows_of(name).schema).parquet(f"{self.path}/{name}")
@@ -115,9 +125,16 @@ class ParquetStore(Store):
         rows.write.mode("append").parquet(f"{self.path}/conflicts")
 
     def clear_conflicts(self, id: str) -> None:
-        rows = self.spark.createDataFrame([(id, self.newest())], "id string, seq bigint")
+        rows = self.spark.createDataFrame([(id, self.newest())], CLEARED)
         rows.write.mode("append").parquet(f"{self.path}/cleared")
 
+    def indexes(self) -> list[dict]:
+        return [r.asDict(recursive=True) for r in changelog.latest(self._read("indexes"), "id", "at").collect()]
+
+    def append_index(self, row: dict) -> None:
+        with self.lock:
+            self.spark.createDataFrame([row], INDEXES).write.mode("append").parquet(f"{self.path}/indexes")
+
 
 def encode(doc: object) -> str:
     return json.dumps(doc, ensure_ascii=False)

@@ -60,6 +60,26 @@ def test_queries_over_documents(db):
         db.query("*", index="nope")
 
 
+def test_a14_indexes_outlive_the_process(spark, tmp_path):
+    path = str(tmp_path / "db")
+    first = Database(spark, path)
+    first.put_document("a", {"name": "zebra"})
+    by_name = IndexDef.of("by_name", {"n": "variant_get(doc, '$.name', 'string')"}, "id <> 'b'")
+    first.put_index(by_name)
+    first.put_index(IndexDef.of("gone", {"n": "id"}))
+    first.delete_index("gone")
+    first.catalog.advance("by_name", 7)
+    first.catalog.mark_failed("by_name")
+    again = Database(spark, path)
+    assert again.catalog.ids() == ["default", "by_name"] and again.load_index("by_name") == by_name
+    assert again.load_index_metadata("by_name") == {"version": 1, "last_seq": 7, "failed": True} and again.catalog.is_failed("by_name")
+    assert again.query('(= "n" "zebra")', index="by_name") == [{"name": "zebra"}]
+    again.catalog.reset("by_name")
+    again.put_index(by_name)
+    again.put_index(IndexDef.of("by_name", {"n": "id"}))
+    assert Database(spark, path).load_index_metadata("by_name") == {"version": 2, "last_seq": 0, "failed": False}
+
+
 def test_l1_unit_of_work(db):
     db.put_document("1", {"v": 1})
     tx = Transaction(db).store("2", {"v": 2}).delete("1")
@@ -72,7 +92,7 @@ def test_j8_replication(spark):
     one, two = Database(spark, server_id="one"), Database(spark, server_id="two")
     one.put_document("x", {"hello": 1})
     two.replicate(one.store.log())
-    assert two.load_document("x") == {"hello": 1}
+    assert two.load_document("x") == {"hello": 1} and two.replication_status() == {"last_synctag": 1, "total": 1}
     two.replicate(one.store.log())
     assert two.store.log().count() == 1
     one.put_document("x", {"hello": "one"})
