@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64, pieces, schema, text_of
+from .common import begin, mix64, pieces, schema, text_of
 
 STORE_BYTES, WORD_BYTES = 16 << 20, 56 << 20
 BATCH_BYTES = 1 << 20
@@ -158,7 +158,7 @@ class Encoder:
 
 @functools.cache
 def _encoder(path: str) -> Encoder:
-    """One for each Python worker, kept from task to task."""
+    """One for each Python worker, kept from task to task, until another operator begins there."""
     return Encoder(path)
 
 
@@ -168,6 +168,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
     out = schema("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
 
     def run(batches):
+        begin("bpe", _encoder.cache_clear)
         gc.disable()  # nothing here makes cycles, and collections would walk the stores again and again
         encoder = _encoder(path)
         for rows in pieces(batches, BATCH_BYTES, "doc_id", "text"):

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -183,6 +184,22 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def begin(operator: str, clear: Callable[[], object] | None = None) -> None:
+    """Called first in a task. Workers live on from operator to operator: what others keep in this one is let go by their ``clear``."""
+    others = [name for name in _KEPT if name != operator]
+    for name in others:
+        _KEPT.pop(name)()
+    if others:
+        gc.enable()
+        gc.collect()
+        release()
+    if clear is not None:
+        _KEPT[operator] = clear
+
+
 def sliced(batches: Iterable, rows: int) -> Iterator:
     """Arrow batches of at most so many rows, without copies: what Python makes of one is gone before the next."""
     for batch in batches:

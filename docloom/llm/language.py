@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pieces, schema, sliced, text_of
+from .common import begin, pieces, schema, sliced, text_of
 
 SAMPLE_DOCS, SLICE, DICT_BYTES, BLOCK, SHORT, MIN_MARGIN = 96, 1200, 96 << 10, 2048, 600, 0.002
 BATCH_BYTES = 1 << 20
@@ -110,6 +110,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], min_margin: float = MIN
     out = schema("doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
     def run(batches):
+        begin("language")
         model = Identifier(content)
         for rows in pieces(batches, BATCH_BYTES, "doc_id", "text"):
             found = [(r[0], *model.predict(r[1])) for r in rows]
@@ -125,6 +126,7 @@ def keep_identified(docs: DataFrame, content: dict[str, bytes], min_margin: floa
     out = docs.schema
 
     def run(batches):
+        begin("language")
         model = Identifier(content)
         for batch in sliced(batches, 256):
             keep = []

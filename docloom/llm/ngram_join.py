@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, keyed, materialize, mix64, partitions, pieces, schema, sliced
+from .common import begin, byte_table, keyed, materialize, mix64, partitions, pieces, schema, sliced
 from .components import stars
 
 WORDS, PERCENT, COUNTED, SMALL, FEW, PIVOTS, ROUNDS, PARTS = 5, 75, 0.36, 64, 5, 5, 6, 16
@@ -125,6 +125,7 @@ def _counted(s: np.ndarray, bound: np.uint64) -> np.ndarray:
 
 def _profile(batches, out, counted: float, k: int):
     """A row for each document: its set's id and size, and how many of its tokens are counted first."""
+    begin("n-gram join", _powers.cache_clear)
     bound = _bound(counted)
     for rows in pieces(batches, BATCH_BYTES, "doc_id", "th", "text"):
         sets = shingle_sets([r[2].encode() for r in rows], k)
@@ -153,6 +154,7 @@ def _binned(ids: list[int], toks: list[np.ndarray], bins: int, names: list[str])
 
 def _post_texts(batches, out, counted: float, k: int, bins: int):
     """The tokens that are counted first; a set that stands in a task again is left out."""
+    begin("n-gram join", _powers.cache_clear)
     bound, seen = _bound(counted), set()
     for rows in pieces(batches, BATCH_BYTES, "text"):
         toks, ids = [], []

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, discard, keyed, materialize, schema, sliced, window_hashes
+from .common import begin, byte_table, discard, keyed, materialize, schema, sliced, window_hashes
 
 MIN_LEN, GROUP, BLOCK = 400, 16, 1 << 20
 _RANK = "r1 long, r2 long"
@@ -99,6 +99,7 @@ def runs(texts: list[bytes], min_len: int = MIN_LEN, block: int = BLOCK):
 
 
 def _anchors(batches, min_len: int, out):
+    begin("suffix dedup")
     for batch in sliced(batches, 512):
         ids, ths, texts = batch.column("doc_id"), batch.column("th"), batch.column("text").cast(pa.binary()).to_pylist()
         for i, first, last, anchor, h in runs(texts, min_len):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, schema, text_of
+from .common import begin, pieces, schema, text_of
 
 #: Pre-tokens to go back before an edit: white space ends one character short of a word, and looks one ahead.
 CONTEXT = 2
@@ -162,6 +162,7 @@ def count_after_edits(docs: DataFrame, edits: str = "edits", tokenizer: str = "b
     out = schema("doc_id long, n_tokens long, n_tokens_edited long, n_pretokens long, n_reencoded long, n_edits long")
 
     def run(batches):
+        begin("token counts", _tokenizer.cache_clear)
         gc.disable()
         tok = _tokenizer(tokenizer)
         for rows in pieces(batches, BATCH_BYTES, "doc_id", "edits", "text"):
