@@ -7,7 +7,9 @@
    ``n - ceil(t n) + 1`` of either, so a set with that many tokens of its own
    has no partner. This is found twice. First over all sets with a part of
    their tokens (those under a bound of their hash, or all if they are few):
-   most sets have enough tokens of their own among these and leave. Then over
+   most sets have enough tokens of their own among these and leave. A token is
+   a set's own only if no set that it can be linked with has it, so sets in
+   reach of one that counts all its tokens post all of theirs, too. Then over
    those that are left with all their tokens, which gives the prefixes.
    Tokens are dealt into bins as bytes and counted over all documents there.
 3. Sets with a common prefix token are candidates, subject to the length filter
@@ -45,6 +47,7 @@ from .components import stars
 
 WORDS, PERCENT, COUNTED, SMALL, FEW, PIVOTS, ROUNDS, PARTS = 5, 75, 0.36, 64, 5, 5, 6, 16
 BIN_ROWS, BATCH_BYTES, BLOCK_TOKENS = 1_000_000, 1 << 20, 1 << 17
+WITNESS = 0  # the id of the empty set, which has no tokens, in postings that aren't counted for their set
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -123,6 +126,16 @@ def _counted(s: np.ndarray, bound: np.uint64) -> np.ndarray:
     return s if len(s) <= SMALL else s[: int(np.searchsorted(s, bound))]
 
 
+def _reach(percent: int) -> int:
+    """The size of the largest set that a set of ``SMALL`` tokens can be linked with."""
+    return SMALL * 100 // percent
+
+
+def _witness(s: np.ndarray, bound: np.uint64, reach: int) -> np.ndarray:
+    """The tokens of a set that aren't counted for it, but that small sets, which count all theirs, can share with it."""
+    return s[int(np.searchsorted(s, bound)) :] if SMALL < len(s) <= reach else s[:0]
+
+
 def _profile(batches, out, counted: float, k: int):
     """A row for each document: its set's id and size, and how many of its tokens are counted first."""
     begin("n-gram join", _powers.cache_clear)
@@ -152,10 +165,10 @@ def _binned(ids: list[int], toks: list[np.ndarray], bins: int, names: list[str])
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names)
 
 
-def _post_texts(batches, out, counted: float, k: int, bins: int):
-    """The tokens that are counted first; a set that stands in a task again is left out."""
+def _post_texts(batches, out, counted: float, k: int, bins: int, percent: int):
+    """The tokens that are counted first, and those of witnesses; a set that stands in a task again is left out."""
     begin("n-gram join", _powers.cache_clear)
-    bound, seen = _bound(counted), set()
+    bound, reach, seen = _bound(counted), _reach(percent), set()
     for rows in pieces(batches, BATCH_BYTES, "text"):
         toks, ids = [], []
         for s in shingle_sets([r[0].encode() for r in rows], k):
@@ -164,6 +177,9 @@ def _post_texts(batches, out, counted: float, k: int, bins: int):
                     seen.add(i)
                 toks.append(_counted(s, bound))
                 ids.append(i)
+                if len(more := _witness(s, bound, reach)):
+                    toks.append(more)
+                    ids.append(WITNESS)
         if toks and sum(map(len, toks)):
             yield _binned(ids, toks, bins, out.names)
 
@@ -216,7 +232,7 @@ def _shared(batches, out, tokens: bool, bins: int, flush: int = 500_000):
             tok, doc = _numbers(spool.read(a), spool.read(b), spool.read(c))
             at = np.searchsorted(values, tok)
             at[at == len(values)] = 0
-            hit = values[at] == tok
+            hit = (values[at] == tok) & (doc != WITNESS)
             hits.append((doc[hit], tok[hit], counts[at[hit]]))
             n += int(hit.sum())
             if n >= flush:
@@ -356,8 +372,8 @@ def links(docs: DataFrame, profile: DataFrame, k: int, percent: int, counted: fl
     def bins(postings: int | None) -> int:
         return max(partitions(spark), -(-int(postings or 0) // BIN_ROWS))
 
-    n = bins(classes.agg(F.sum("k")).first()[0])
-    posted = docs.select("text").mapInArrow(lambda b: _post_texts(b, binned, counted, k, n), binned).repartition(n, "bin")
+    n = bins(classes.agg(F.sum(F.when(F.col("n") <= _reach(percent), F.col("n")).otherwise(F.col("k")))).first()[0])
+    posted = docs.select("text").mapInArrow(lambda b: _post_texts(b, binned, counted, k, n, percent), binned).repartition(n, "bin")
     packed, c = schema("bin int, ids binary, sizes binary, toks binary, dfs binary"), schema("rid long, shared long")
     counts = posted.mapInArrow(lambda b: _shared(b, packed, False, n), packed).select("bin", "ids", "sizes").repartition(n, "bin").mapInArrow(lambda b: _sums(b, c), c)
     left = classes.join(counts.hint("merge"), "rid", "left").filter(F.col("k") - F.coalesce("shared", F.lit(0)) < need)

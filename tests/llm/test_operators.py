@@ -200,6 +200,19 @@ def test_ngram_join(spark, odd, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_ngram_join_across_sizes(spark):
+    """Links between sets of which one counts all its tokens first and the other only a part."""
+    rows = []
+    for small, large in [(60, 70), (64, 65), (64, 85), (64, 86), (50, 66), (65, 86), (63, 64), (70, 93)] * 4:
+        g = len(rows)
+        words = [f"g{g}w{i}" for i in range(large + 4)]
+        rows += [(g, " ".join(words[: small + 4])), (g + 1, " ".join(words))]
+    for percent in (75, 60):
+        got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+        sizes = [len(t.split()) - 4 for _, t in rows]
+        assert got == {d: d - d % 2 if 100 * sizes[d - d % 2] >= percent * sizes[d - d % 2 + 1] else d for d, _ in rows}
+
+
 def test_token_counts(spark, odd, empty):
     tok = token_counts._tokenizer("byte_bpe_50k.tiktoken")
     random.seed(3)
