@@ -3,8 +3,8 @@
 Defined results are those of the operators: rows with null or empty texts are
 rejected by the language stage, every stage works on all that is left, and
 columns of documents are passed on as they are, but for text and n_chars,
-which the suffix-array stage changes. Of rows that repeat an id and text the
-n-gram stage leaves one.
+which the suffix-array stage changes. The n-gram stage leaves one row of each
+component of near copies, also where rows repeat an id or have none.
 """
 
 from __future__ import annotations

@@ -468,8 +468,8 @@ def _compare(batches, out, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], out.names)
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, counted: float | None = None) -> DataFrame:
-    """doc_id, th (a hash of the text), n_shingles and component_id of each row of a documents table."""
+def _found(docs: DataFrame, k: int, percent: int, counted: float | None) -> DataFrame:
+    """doc_id, th, n, comp (the component's own number, null without words) and component_id of each row."""
     docs = keyed(docs)
     counted = max(COUNTED, 1 - percent / 100 + 0.11) if counted is None else counted
     m = schema("doc_id long, th long, rid long, n int, k int")
@@ -478,20 +478,39 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cou
     classes = profile.filter("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least"))
     classes = classes.join(star.select(F.col("a").alias("rid"), F.col("b").alias("label")), "rid", "left").withColumn("comp", F.coalesce("label", "rid"))
     comps = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    classes = materialize(classes.join(comps, "comp").select(F.col("rid").alias("r"), "component_id"), "components")
+    classes = materialize(classes.join(comps, "comp").select(F.col("rid").alias("r"), "comp", "component_id"), "components")
     out = profile.join(classes, (F.col("rid") == F.col("r")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "th", "n", "comp", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, counted: float | None = None) -> DataFrame:
+    """doc_id, th (a hash of the text), n_shingles and component_id of each row of a documents table."""
+    return _found(docs, k, percent, counted).select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of a documents table with one document of each component: that with the smallest id.
+    """The rows of a documents table with exactly one row of each component.
 
-    Rows that share that id and text are one document, of which one row stays.
-    Rows without an id stay, as nothing tells which of them stands for the rest.
+    It is the one with the smallest id (null comes last), then with the least
+    hash of the text, then with the least other columns. Rows without words
+    have no near copies: they stay, but for rows that repeat an id and text,
+    of which one stays.
     """
-    found = near_duplicates(docs, k, percent).filter("doc_id is null or component_id is null or doc_id <> component_id")
-    gone = found.filter("doc_id is not null and component_id is not null").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
-    gone = materialize(gone, "gone")
+    # Rows of one id and text are counted before they are shuffled, so many copies are no burden.
+    rows = _found(docs, k, percent, None).groupBy("doc_id", "th").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.min("comp").alias("comp"))
+    rows = materialize(rows, "rows")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "copies")
+    keep = rows.filter("n > 0").groupBy("comp").agg(F.min(first).alias("x")).select("x.doc_id", "x.th", "x.copies")
+    bare = rows.filter("n = 0").select("doc_id", "th", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("copies")).alias("copies"))
+    keep = keep.unionByName(bare).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "copies")
+    keep = materialize(keep, "keep")
     th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone.hint("merge"), (docs["doc_id"].cast("long") == F.col("__d")) & (th == F.col("__t")), "left_anti")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (th == F.col("__t"))
+    out = docs.join(keep.filter("copies = 1").hint("merge"), same, "left_semi")
+    repeated = materialize(keep.filter("copies > 1").drop("copies"), "repeated")
+    if repeated.isEmpty():
+        return out
+    # Mostly few; the written table's true size tells the planner whether they are.
+    one = docs.join(repeated, same).groupBy("__d", "__t").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return out.unionByName(one.select("__row.*"))

@@ -213,6 +213,24 @@ def test_ngram_join_across_sizes(spark):
         assert got == {d: d - d % 2 if 100 * sizes[d - d % 2] >= percent * sizes[d - d % 2 + 1] else d for d, _ in rows}
 
 
+def test_one_row_of_each_component_stays(spark):
+    def text(g, n=120):
+        return " ".join(f"g{g}w{i}" for i in range(n))
+
+    rows = [(1, text(1), "en", "s", 1), (1, text(1), "en", "s", 1), (1, text(1), "de", "s", 1), (2, text(1), "en", "s", 1)]  # repeated rows
+    rows += [(3, text(3), "en", "s", 1), (3, text(3) + " more", "en", "s", 1), (4, text(3) + " other", "en", "s", 1)]  # near copies under one id
+    rows += [(None, text(5), "en", "s", 1)] * 3 + [(None, text(5) + " more", "en", "s", 1)]  # no id at all
+    rows += [(None, text(6), "en", "s", 1), (6, text(6), "en", "s", 1)]
+    rows += [(7, text(7), "en", "s", 1), (7, text(8), "en", "s", 1)]  # one id, two components
+    rows += [(9, " ", "en", "s", 1), (9, " ", "en", "s", 1), (9, "", "en", "s", 1), (None, "", "en", "s", 1), (None, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = ngram_join.keep_one(docs)
+    got = sorted((r.doc_id or 0, (r.text or "").split(" ")[0], r.lang) for r in kept.collect())
+    assert got == [(0, "", "en"), (0, "", "en"), (0, "g5w0", "en"), (1, "g1w0", "de"), (3, "g3w0", "en"), (6, "g6w0", "en"), (7, "g7w0", "en"), (7, "g8w0", "en"), (9, "", "en"), (9, "", "en")]
+    left = sorted((r.doc_id or 0, len(r.text)) for r in suffix_dedup.strip(kept).collect() if r.text.strip())
+    assert [d for d, _ in left] == [0, 1, 3, 6, 7, 7] and all(n >= len(text(1)) for _, n in left)
+
+
 def test_token_counts(spark, odd, empty):
     tok = token_counts._tokenizer("byte_bpe_50k.tiktoken")
     random.seed(3)
