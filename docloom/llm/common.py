@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import os
@@ -71,17 +72,50 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docloom_path = path
+    if (written := _WRITTEN.get()) is not None:
+        written.append(out)
     return out
 
 
+_WRITTEN: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("written", default=None)
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """Tables that ``materialize`` writes inside are deleted in the end, but for those that are taken out of the list."""
+    written: list[DataFrame] = []
+    token = _WRITTEN.set(written)
+    try:
+        yield written
+    finally:
+        _WRITTEN.reset(token)
+        discard(*written)
+
+
+def kept(table: DataFrame, written: list[DataFrame]) -> DataFrame:
+    """Take a table out of those that ``temporary`` deletes; tables around that belong to whoever is outside."""
+    written[:] = [x for x in written if x is not table]
+    return table
+
+
 def discard(*frames: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more."""
+    """Delete tables of ``materialize`` that nothing reads any more. Those that are gone already don't matter."""
     for df in frames:
         spark = df.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._docloom_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let go of shuffles that nothing refers to.
+
+    Spark removes a finished job's shuffle files when the driver's JVM collects what stood for them, which it
+    has little reason to do by itself: with a heap that doesn't fill, they would stay to the operator's end.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -175,6 +209,80 @@ def window_hashes(x: np.ndarray, k: int) -> np.ndarray:
         length *= 2
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTERS = byte_table(6)
+_CHUNK = 1 << 20
+
+
+def _powers() -> np.ndarray:
+    out = np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS = _powers()
+
+
+def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.frombuffer(data, np.uint8)
+    gap = _SPACE[x]
+    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64)
+    first = np.concatenate([[0], np.cumsum(ends - starts)])
+    place = np.arange(first[-1], dtype=np.int64) - np.repeat(first[:-1], ends - starts)
+    value = _LETTERS[x[~gap]] * _POWERS[place & 0xFFFF]
+    if int((ends - starts).max()) > 1 << 16:  # a word longer than the table: the power's high part comes from a second table
+        high = np.full(int(place.max() >> 16) + 1, pow(0x9E3779B97F4A7C15, 1 << 16, 1 << 64), np.uint64)
+        high[0] = 1
+        value *= np.multiply.accumulate(high)[place >> 16]
+    return starts, ends, mix64(np.add.reduceat(value, first[:-1]))
+
+
+def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of a text's words. Long texts are taken in chunks cut at white space."""
+    at, parts = 0, []
+    while at < len(text) or not parts:
+        end = at + _CHUNK
+        if end < len(text):
+            cut = max(text.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            while cut < 0 and end < len(text):  # no white space at all: look further
+                found = [i for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (i := text.find(c, end, end + _CHUNK)) >= 0]
+                cut, end = min(found, default=-1), end + _CHUNK
+            end = cut + 1 if cut >= 0 else len(text)
+        starts, ends, h = _hash_words(text[at:end])
+        parts.append((starts + at, ends + at, h))
+        at = end
+    return parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def word_hashes_of(texts: list[bytes]) -> list[np.ndarray]:
+    """The hashes of each text's words, in order; short texts are hashed together."""
+    out: list[np.ndarray] = []
+    held, used = [], 0
+
+    def together() -> None:
+        starts, _, h = _hash_words(b"\n".join(held))
+        at = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in held]])).tolist()
+        out.extend(h[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+        held.clear()
+
+    for text in texts:
+        if held and used + len(text) > _CHUNK:
+            together()
+            used = 0
+        if len(text) > _CHUNK:
+            out.append(hashed_words(text)[2])
+        else:
+            held.append(text)
+            used += len(text)
+    if held:
+        together()
+    return out
+
+
 def release() -> None:
     """Give memory that a task has freed back to the system; workers live on, and executors are small."""
     import pyarrow as pa

@@ -24,7 +24,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove(read(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.remove(read(spark, sf_dir, "documents"), min_words=suffix_dedup.MIN_WORDS).drop("kept")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,30 +1,38 @@
-"""Removal of long repeated byte strings by distributed prefix doubling.
+"""Removal of long repeats by distributed prefix doubling.
 
 A suffix array by prefix doubling ranks all positions by their first 1, 2, 4,
-... bytes; positions whose rank is unique drop out, and doubling ends at the
+... symbols; positions whose rank is unique drop out, and doubling ends at the
 threshold. Two observations make that affordable for large inputs:
 
 * Only some positions have to be carried. Of the ``min_len - k + 1`` strings of
-  k bytes that begin in a window of ``min_len`` bytes, the one with the least
-  hash (the leftmost of equals) is the window's anchor. Equal windows have
-  equal anchors at equal offsets, so a window is a repeat only if its anchor's
-  k bytes are. Runs of windows with one anchor make one row.
+  k symbols that begin in a window of ``min_len``, the one with the least hash
+  (the leftmost of equals) is the window's anchor. Equal windows have equal
+  anchors at equal offsets, so a window is a repeat only if its anchor's k
+  symbols are. Runs of windows with one anchor make one row.
 * A rank only has to be equal where prefixes are equal and different where
   they aren't, so a fingerprint of the prefix serves as the rank, and no round
   needs a global order. Spark sorts or hashes (rank, offset) pairs to find the
   equal ones.
 
-Rounds, at growing lengths: first k bytes (the anchor; unique ones drop out)
+Rounds, at growing lengths: first k symbols (the anchor; unique ones drop out)
 together with the whole stretch that the run's windows cover (if it is
 repeated, all the run's windows are, and they are settled); then, for what is
-left, groups of ``GROUP`` neighbouring windows by the bytes that all of them
-share (unique: dropped) and by the bytes that any of them has (repeated:
-settled); last, single windows of ``min_len`` bytes. Ranks that settle anything
-have 128 bits.
+left, groups of ``GROUP`` neighbouring windows by the symbols that all of them
+share (unique: dropped) and by the symbols that any of them has (repeated:
+settled); last, single windows. Ranks that settle anything have 128 bits.
+
+There are two kinds of symbols, and both go through the same rounds at once:
+
+* Bytes (``min_bytes``): a window is a repeat if it stands anywhere else, the
+  same document included.
+* Words (``min_words``), each by a hash of 64 bits: a window is a repeat if it
+  stands in another document, whatever white space lies between the words. This
+  is what finds passages of over 50 words, many of which have under 400 bytes.
 
 Defined results: texts are taken as UTF-8, null as empty; matches never cross
-documents; rows that repeat a text remove each other wholly; texts under
-``min_len`` bytes stay; every row gets a row; only doc_id and text are read.
+documents; rows that repeat a text remove each other wholly by bytes, and are
+one document by words if they repeat the id, too; texts under the threshold
+stay; every row gets a row; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -36,9 +44,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, byte_table, discard, keyed, materialize, schema, sliced, window_hashes
+from .common import begin, byte_table, discard, hashed_words, kept, keyed, materialize, schema, sliced, sweep, temporary, window_hashes, word_hashes_of
 
-MIN_LEN, GROUP, BLOCK = 400, 16, 1 << 20
+MIN_BYTES, MIN_WORDS, GROUP, BLOCK = 400, 51, 16, 1 << 20
+BYTES, WORDS = 0, 1  # kinds of symbols
+WIDTH = (1, 8)  # bytes of a symbol, by kind
 _RANK = "r1 long, r2 long"
 
 
@@ -53,8 +63,8 @@ def _digests(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in parts]), "<i8").reshape(-1, 2)
 
 
-def _windows(texts: list[bytes], min_len: int, block: int = BLOCK):
-    """Blocks of whole texts, or of stretches of long ones: (bytes, [(text's number, its offset, start, end in the block)])."""
+def _windows(texts: list[np.ndarray], min_len: int, block: int = BLOCK):
+    """Blocks of whole texts, or of stretches of long ones: (symbols, [(text's number, its offset, start, end in the block)])."""
     held, used, spans = [], 0, []
     for i, text in enumerate(texts):
         if len(text) < min_len:
@@ -62,21 +72,26 @@ def _windows(texts: list[bytes], min_len: int, block: int = BLOCK):
         for at in range(0, len(text) - min_len + 1, block):
             part = text[at : at + block + min_len - 1]
             if used and used + len(part) > block + min_len:
-                yield b"".join(held), spans
+                yield np.concatenate(held), spans
                 held, used, spans = [], 0, []
             held.append(part)
             spans.append((i, at, used, used + len(part)))
             used += len(part)
     if held:
-        yield b"".join(held), spans
+        yield np.concatenate(held), spans
+
 
+_TABLE = byte_table(20)
 
-def runs(texts: list[bytes], min_len: int = MIN_LEN, block: int = BLOCK):
-    """Runs of windows with one anchor: (text's number, first window, last window, anchor, anchor's hash) as arrays, by block."""
+
+def runs(texts: list[np.ndarray], min_len: int, block: int = BLOCK):
+    """Runs of windows with one anchor: (text's number, first window, last window, anchor, anchor's hash) as arrays, by block.
+
+    ``texts``: arrays of bytes, or of words' hashes.
+    """
     k = anchor_size(min_len)
-    table = byte_table(20)
     for data, spans in _windows(texts, min_len, block):
-        h = window_hashes(table[np.frombuffer(data, np.uint8)], k)
+        h = window_hashes(_TABLE[data] if data.dtype == np.uint8 else data, k)
         key = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)  # least hash, then leftmost
         w, length = min_len - k + 1, 1
         while length * 2 <= w:
@@ -98,121 +113,163 @@ def runs(texts: list[bytes], min_len: int = MIN_LEN, block: int = BLOCK):
         yield where[j, 0], first + where[j, 1], last + where[j, 1], anchor[first] + where[j, 1], h[anchor[first]].view(np.int64)
 
 
-def _anchors(batches, min_len: int, out):
+def _symbols(texts: list[bytes], kind: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """Each text as an array of symbols, and the same as bytes."""
+    if kind == BYTES:
+        return [np.frombuffer(t, np.uint8) for t in texts], texts
+    words = word_hashes_of(texts)
+    return words, [w.tobytes() for w in words]
+
+
+def _anchors(batches, least: dict[int, int], out):
     begin("suffix dedup")
     for batch in sliced(batches, 512):
         ids, ths, texts = batch.column("doc_id"), batch.column("th"), batch.column("text").cast(pa.binary()).to_pylist()
-        for i, first, last, anchor, h in runs(texts, min_len):
-            d = _digests([texts[n][a : b + min_len] for n, a, b in zip(i.tolist(), first.tolist(), last.tolist(), strict=True)])
-            # The place of the anchor within the run belongs to the rank: equal runs have equal offsets.
-            tag = (anchor - first) * np.int64(0x9E3779B1)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ths.take(pa.array(i)), *[pa.array(x) for x in (first, (last - first).astype(np.int32), (anchor - first).astype(np.int32), h, d[:, 0] ^ tag, d[:, 1])]], out.names)
-
-
-def _stretches(batches, min_len: int, out):
-    """The bytes that the listed runs cover, cut out of the texts."""
+        for kind, min_len in least.items():
+            w = WIDTH[kind]
+            arrays, raw = _symbols(texts, kind)
+            for i, first, last, anchor, h in runs(arrays, min_len):
+                d = _digests([raw[n][w * a : w * (b + min_len)] for n, a, b in zip(i.tolist(), first.tolist(), last.tolist(), strict=True)])
+                # The place of the anchor within the run belongs to the rank: equal runs have equal offsets.
+                tag = (anchor - first) * np.int64(0x9E3779B1)
+                kinds = np.full(len(i), kind, np.int8)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ths.take(pa.array(i)), *[pa.array(x) for x in (kinds, first, (last - first).astype(np.int32), (anchor - first).astype(np.int32), h, d[:, 0] ^ tag, d[:, 1])]], out.names)
+
+
+def _stretches(batches, least: dict[int, int], out):
+    """The symbols that the listed runs cover, cut out of the texts."""
+    types = [pa.int64()] * 2 + [pa.int8(), pa.int64()] + [pa.int32()] * 2 + [pa.int64(), pa.binary()]
     for batch in sliced(batches, 32):
         for r in batch.to_pylist():
-            text = r["text"].encode()
-            rows = [(r["doc_id"], r["th"], x["first"], x["n"], x["at"], x["g"], text[x["first"] : x["first"] + x["n"] + min_len]) for x in r["runs"]]
+            text, symbols, rows = r["text"].encode(), {}, []
+            for x in r["runs"]:
+                if x["kind"] not in symbols:
+                    symbols[x["kind"]] = text if x["kind"] == BYTES else hashed_words(text)[2].tobytes()
+                w = WIDTH[x["kind"]]
+                rows.append((r["doc_id"], r["th"], x["kind"], x["first"], x["n"], x["at"], x["g"], symbols[x["kind"]][w * x["first"] : w * (x["first"] + x["n"] + least[x["kind"]])]))
             for a in range(0, len(rows), 4096):
-                cols = list(zip(*rows[a : a + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64(), pa.binary()], strict=True)], out.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4096], strict=True), types, strict=True)], out.names)
 
 
-def _groups(batches, min_len: int, out):
+def _groups(batches, least: dict[int, int], out):
     """Groups of neighbouring windows, by their distance to the anchor: ranks of what all share, and of what any has.
 
     A run that has a group only in part still has all that the group's windows share, but no rank of the whole.
     """
+    types = [pa.int64()] * 2 + [pa.int8(), pa.int64(), pa.int32(), pa.int64()] + [pa.int32()] * 3 + [pa.int64()] * 2
     for batch in sliced(batches, 256):
         rows, shared, united = [], [], []
         for r in batch.to_pylist():
-            s, at, n = r["bytes"], r["at"], r["n"]
-            # Window i of the run begins at - i bytes before the anchor.
+            s, at, n, w, min_len = r["symbols"], r["at"], r["n"], WIDTH[r["kind"]], least[r["kind"]]
+            # Window i of the run begins at - i symbols before the anchor.
             for c in range((at - n) // GROUP, at // GROUP + 1):
                 far, near = c * GROUP + GROUP - 1, c * GROUP
-                shared.append(s[at - near : max(at - near, at - far + min_len)])
+                shared.append(s[w * (at - near) : w * max(at - near, at - far + min_len)])
                 whole = far <= at and near >= at - n
                 if whole:
-                    united.append(s[at - far : at - near + min_len])
-                rows.append((r["doc_id"], r["th"], r["first"], at, r["g"], c, min(far, at), max(near, at - n), whole))
+                    united.append(s[w * (at - far) : w * (at - near + min_len)])
+                rows.append((r["doc_id"], r["th"], r["kind"], r["first"], at, r["g"], c, min(far, at), max(near, at - n), whole))
         if rows:
             c, u = _digests(shared), iter(_digests(united).tolist() if united else ())
             ranks = [next(u) if r[-1] else (None, None) for r in rows]
             cols = [list(x) for x in zip(*[(*r[:-1], *k) for r, k in zip(rows, ranks, strict=True)], strict=True)]
-            types = [pa.int64()] * 3 + [pa.int32(), pa.int64()] + [pa.int32()] * 3 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([*[pa.array(x, t) for x, t in zip(cols, types, strict=True)], pa.array(c[:, 0]), pa.array(c[:, 1])], out.names)
 
 
-def _singles(batches, min_len: int, out):
+def _singles(batches, least: dict[int, int], out):
     for batch in sliced(batches, 256):
         rows, parts = [], []
         for r in batch.to_pylist():
-            s, at = r["bytes"], r["at"]
+            s, at, w, min_len = r["symbols"], r["at"], WIDTH[r["kind"]], least[r["kind"]]
             for x in r["groups"]:
                 for off in range(x["near"], x["far"] + 1):
-                    rows.append((r["doc_id"], r["th"], r["first"] + at - off))
-                    parts.append(s[at - off : at - off + min_len])
+                    rows.append((r["doc_id"], r["th"], r["kind"], r["first"] + at - off))
+                    parts.append(s[w * (at - off) : w * (at - off + min_len)])
         if rows:
             d = _digests(parts)
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(d[:, 0]), pa.array(d[:, 1])], out.names)
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int8(), pa.int64()], strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(d[:, 0]), pa.array(d[:, 1])], out.names)
 
 
-def _repeated(rows: DataFrame, key: list[str], *one: str) -> DataFrame:
-    """The keys that stand twice or more, and with ``one`` those columns of one copy of each, as ``x``.
+def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The keys that stand twice or more.
 
     They are aggregated before they are shuffled, so a frequent one is no burden, and written before rows
     are joined with them: adaptive execution can split a frequent key's rows only then.
     """
-    copy = [F.min(F.struct(*one)).alias("x")] if one else []
-    return materialize(rows.groupBy(*key).agg(F.count("*").alias("copies"), *copy).filter("copies > 1").drop("copies"), "repeated")
+    return materialize(rows.groupBy(*key).agg(F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "shared")
 
 
-def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
-    """doc_id, th, first, last: windows first to last of a document are repeats. ``docs``: doc_id, text, th."""
-    cols = "doc_id long, th long, first long, n int, at int, g long"
+def _repeated(rows: DataFrame, key: list[str], *one: str) -> DataFrame:
+    """The keys that are repeats, by the rule of their kind, with copies of them as ``xs``: columns ``one`` of two copies, from two documents where there are two."""
+    row = F.struct("doc_id", "th", *one)
+    found = rows.groupBy(*key).agg(F.count("*").alias("copies"), F.min("kind").alias("kind"), F.min(row).alias("lo"), F.max(row).alias("hi"))
+    elsewhere = ~(F.col("lo.doc_id").eqNullSafe(F.col("hi.doc_id")) & (F.col("lo.th") == F.col("hi.th")))
+    found = found.filter((F.col("copies") > 1) & ((F.col("kind") == BYTES) | elsewhere))
+    # Any copy will do as a partner by bytes; by words, at least one copy must be of another document than the partner's.
+    return materialize(found.select(*key, "kind", F.when(F.col("kind") == BYTES, F.array("lo")).otherwise(F.array("lo", "hi")).alias("xs")), "repeated")
+
+
+def _partners(repeated: DataFrame, among: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """Copies of what is settled that may still be partners: those with a key that something open has, too."""
+    rows = repeated.join(materialize(among.select(*key).distinct(), "contested"), key, "left_semi")
+    return rows.select("*", F.explode("xs").alias("x")).select(*[f"x.{c}" if c not in (*key, "kind") else c for c in columns])
+
+
+def repeated_spans(docs: DataFrame, min_bytes: int | None = MIN_BYTES, min_words: int | None = None) -> DataFrame:
+    """doc_id, th, kind, first, last: windows first to last of a document are repeats. ``docs``: doc_id, text, th."""
+    least = {k: n for k, n in ((BYTES, min_bytes), (WORDS, min_words)) if n is not None}
+    cols = "doc_id long, th long, kind byte, first long, n int, at int, g long"
     a = schema(f"{cols}, {_RANK}")
-    anchors = materialize(docs.mapInArrow(lambda b: _anchors(b, min_len, a), a), "anchors")
-    shared = materialize(anchors.join(_repeated(anchors, ["g"]), "g", "left_semi"), "shared")
-    discard(anchors)
-    whole = _repeated(shared, ["r1", "r2", "g"], "doc_id", "th", "first", "n", "at")
-    settled = shared.join(whole, ["r1", "r2", "g"], "left_semi").select("doc_id", "th", "first", (F.col("first") + F.col("n")).alias("last"))
-    open_runs = shared.join(whole, ["r1", "r2", "g"], "left_anti")
-    # One copy of each whole stretch stands for its settled runs among those still open: they are partners, too.
-    partner = whole.select("x.*", "g")
-    contested = open_runs.select("g").distinct()
-    todo = open_runs.select("doc_id", "th", "first", "n", "at", "g").unionByName(partner.join(contested, "g", "left_semi"))
-    by_doc = materialize(todo.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "n", "at", "g")).alias("runs")), "open")
+    anchors = materialize(docs.mapInArrow(lambda b: _anchors(b, least, a), a), "anchors")
+    twice = _shared(anchors, ["g"])
+    shared = materialize(anchors.join(twice, "g", "left_semi"), "shared")
+    discard(anchors, twice)
+    sweep(docs.sparkSession)
+    rank = ["r1", "r2", "g"]
+    whole = _repeated(shared, rank, "first", "n", "at")
+    names = ["doc_id", "th", "kind", "first", "n", "at", "g"]
+    ranked = materialize(shared.join(whole.select(*rank, F.lit(True).alias("settled")), rank, "left").select(*names, F.coalesce("settled", F.lit(False)).alias("settled")), "ranked")
+    settled = ranked.filter("settled").select("doc_id", "th", "kind", "first", (F.col("first") + F.col("n")).alias("last"))
+    open_runs = ranked.filter("not settled").drop("settled")
+    # Copies of each whole stretch stand for its settled runs among those still open: they are partners, too.
+    todo = open_runs.unionByName(_partners(whole, open_runs, ["g"], names))
+    by_doc = materialize(todo.groupBy("doc_id", "th").agg(F.collect_list(F.struct("kind", "first", "n", "at", "g")).alias("runs")), "open")
+    discard(shared, whole)
+    sweep(docs.sparkSession)
     texts = docs.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "text")
     # A merge join at every size, as below: at scale the list of documents is too large to send to all.
     found = by_doc.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["doc_id", "th"])
-    s = schema(f"{cols}, bytes binary")
-    stretches = materialize(found.select("doc_id", "th", "runs", "text").mapInArrow(lambda b: _stretches(b, min_len, s), s), "stretches")
-    g = schema("doc_id long, th long, first long, at int, g long, c int, far int, near int, u1 long, u2 long, c1 long, c2 long")
-    groups = materialize(stretches.mapInArrow(lambda b: _groups(b, min_len, g), g), "groups")
-    common = groups.join(_repeated(groups, ["g", "c", "c1", "c2"]), ["g", "c", "c1", "c2"], "left_semi")
-    united = _repeated(groups.filter("u1 is not null"), ["g", "c", "u1", "u2"], "doc_id", "th", "first", "far", "near")
-    settled_groups = common.join(united, ["g", "c", "u1", "u2"], "left_semi")
-    # One copy of each settled group takes part in the last round, as a partner of windows in groups that aren't settled.
-    # Where the bytes that any window has are equal, so are those that all share: each such group is in ``common``.
-    unsettled = common.join(united, ["g", "c", "u1", "u2"], "left_anti").select("doc_id", "th", "first", "far", "near", "g", "c")
-    partner = united.select("x.*", "g", "c")
-    partner = partner.join(unsettled.select("g", "c").distinct(), ["g", "c"], "left_semi").select("doc_id", "th", "first", "far", "near", "g", "c")
-    rest = unsettled.unionByName(partner).groupBy("doc_id", "th", "first").agg(F.collect_list(F.struct("far", "near")).alias("groups"))
-    rest = rest.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("first").alias("f"), "groups")
-    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("first") == F.col("f"))
-    w = schema(f"doc_id long, th long, first long, {_RANK}")
-    windows = stretches.join(rest, on).select("doc_id", "th", "first", "at", "bytes", "groups").mapInArrow(lambda b: _singles(b, min_len, w), w)
-    windows = materialize(windows, "windows")
-    singles = windows.join(_repeated(windows, ["r1", "r2"]), ["r1", "r2"], "left_semi")
+    s = schema(f"{cols}, symbols binary")
+    stretches = materialize(found.select("doc_id", "th", "runs", "text").mapInArrow(lambda b: _stretches(b, least, s), s), "stretches")
+    discard(by_doc)
+    g = schema("doc_id long, th long, kind byte, first long, at int, g long, c int, far int, near int, u1 long, u2 long, c1 long, c2 long")
+    groups = materialize(stretches.mapInArrow(lambda b: _groups(b, least, g), g), "groups")
+    key = ["g", "c", "c1", "c2"]
+    common = materialize(groups.join(_shared(groups, key), key, "left_semi"), "common")
+    discard(groups)
+    sweep(docs.sparkSession)
+    rank = ["g", "c", "u1", "u2"]
+    # Where the symbols that any window has are equal, so are those that all share: each such group is in ``common``.
+    united = _repeated(common.filter("u1 is not null"), rank, "first", "far", "near")
+    names = ["doc_id", "th", "kind", "first", "far", "near", "g", "c"]
     first = F.col("first") + F.col("at")
-    return settled.unionByName(settled_groups.select("doc_id", "th", (first - F.col("far")).alias("first"), (first - F.col("near")).alias("last"))).unionByName(singles.select("doc_id", "th", "first", F.col("first").alias("last")))
+    ranked = materialize(common.join(united.select(*rank, F.lit(True).alias("settled")), rank, "left").select(*names, "at", F.coalesce("settled", F.lit(False)).alias("settled")), "ranked")
+    settled_groups = ranked.filter("settled").select("doc_id", "th", "kind", (first - F.col("far")).alias("first"), (first - F.col("near")).alias("last"))
+    # Copies of each settled group take part in the last round, as partners of windows in groups that aren't settled.
+    unsettled = ranked.filter("not settled").select(*names)
+    rest = unsettled.unionByName(_partners(united, unsettled, ["g", "c"], names)).groupBy("doc_id", "th", "kind", "first").agg(F.collect_list(F.struct("far", "near")).alias("groups"))
+    rest = rest.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("kind").alias("k"), F.col("first").alias("f"), "groups")
+    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("kind") == F.col("k")) & (F.col("first") == F.col("f"))
+    w = schema(f"doc_id long, th long, kind byte, first long, {_RANK}")
+    windows = materialize(stretches.join(rest, on).select("doc_id", "th", "kind", "first", "at", "symbols", "groups").mapInArrow(lambda b: _singles(b, least, w), w), "windows")
+    discard(stretches)
+    singles = windows.join(_repeated(windows, ["r1", "r2"]), ["r1", "r2"], "left_semi").select("doc_id", "th", "kind", "first", F.col("first").alias("last"))
+    return settled.unionByName(settled_groups).unionByName(singles)
 
 
 def covered(spans: list[tuple[int, int]], min_len: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes (start, end) that windows first to last of the spans cover."""
+    """Maximal runs of symbols (start, end) that windows first to last of the spans cover."""
     out: list[list[int]] = []
     for first, last in sorted(spans):
         if out and first <= out[-1][1]:
@@ -222,22 +279,32 @@ def covered(spans: list[tuple[int, int]], min_len: int) -> list[tuple[int, int]]
     return [(a, b) for a, b in out]
 
 
-def _with_spans(docs: DataFrame, min_len: int) -> DataFrame:
-    spans = repeated_spans(docs, min_len).groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    spans = materialize(spans, "spans").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "spans")
+def _with_spans(docs: DataFrame, *least: int | None) -> DataFrame:
+    """``docs`` (with doc_id, th, text) and each one's spans, an array of (kind, first, last), null without any."""
+    with temporary() as written:
+        spans = repeated_spans(docs.select("doc_id", "text", "th"), *least).groupBy("doc_id", "th").agg(F.collect_set(F.struct("kind", "first", "last")).alias("spans"))
+        spans = kept(materialize(spans, "spans"), written).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "spans")
+    sweep(docs.sparkSession)
     return docs.join(spans.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__d")) & (docs["th"] == F.col("__t")), "left").drop("__d", "__t")
 
 
-def remove(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that are left) of each document."""
-    out = schema("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+def _cuts(spans: list[dict] | None, kind: int, min_len: int | None) -> list[tuple[int, int]]:
+    return covered([(x["first"], x["last"]) for x in spans if x["kind"] == kind], min_len) if spans and min_len is not None else []
+
+
+def remove(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that are left by ``min_bytes``) of each document.
+
+    With ``min_words`` also n_passages and n_passage_words: maximal runs of words that repeat in other documents, and their words.
+    """
+    out = schema("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + ", n_passages long, n_passage_words long" * (min_words is not None))
 
     def run(batches):
         for batch in sliced(batches, 256):
             ids, texts, spans = batch.column("doc_id"), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()
-            n, gone, pieces, digests, left = [], [], [], [], []
+            n, gone, pieces, digests, left, passages, words = [], [], [], [], [], [], []
             for text, s in zip(texts, spans, strict=True):
-                cut = covered([(x["first"], x["last"]) for x in s], min_len) if s else []
+                cut = _cuts(s, BYTES, min_bytes)
                 kept = text
                 if cut:
                     edges = [0, *[e for c in cut for e in c], len(text)]
@@ -247,9 +314,13 @@ def remove(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
                 pieces.append(len(cut))
                 digests.append(hashlib.sha256(kept).hexdigest())
                 left.append(kept)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(pieces, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.binary())], out.names)
+                found = _cuts(s, WORDS, min_words)
+                passages.append(len(found))
+                words.append(sum(b - a for a, b in found))
+            cols = [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(pieces, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.binary()), pa.array(passages, pa.int64()), pa.array(words, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols[: len(out)], out.names)
 
-    return _with_spans(keyed(docs), min_len).select("doc_id", "text", "spans").mapInArrow(run, out)
+    return _with_spans(keyed(docs), min_bytes, min_words).select("doc_id", "text", "spans").mapInArrow(run, out)
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
@@ -265,28 +336,35 @@ def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, b[last:]]).decode()
 
 
-def strip(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
+def _without(text: str, spans: list[dict], min_bytes: int | None, min_words: int | None) -> str:
+    cut = _cuts(spans, BYTES, min_bytes)
+    if found := _cuts(spans, WORDS, min_words):
+        starts, ends, _ = hashed_words(text.encode())
+        cut = covered(cut + [(int(starts[a]), int(ends[b - 1])) for a, b in found], 0)
+    return cut_text(text, cut)
+
+
+def strip(docs: DataFrame, min_bytes: int | None = MIN_BYTES, min_words: int | None = None) -> DataFrame:
     """The rows of a documents table with the repeats taken out of their texts, and n_chars to match.
 
-    Characters that are only partly covered stay, as a text can't hold a part of one.
+    A passage goes from its first word's start to its last word's end. Characters that are only partly covered by
+    bytes stay, as a text can't hold a part of one.
     """
     own = docs.schema
     names = [f"__c{i}" for i in range(len(own))]
     renamed = docs.toDF(*names)
     text, doc_id = names[own.names.index("text")], names[own.names.index("doc_id")]
     keys = renamed.withColumns({"doc_id": F.col(doc_id).cast("long"), "text": F.coalesce(F.col(text), F.lit("")), "th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    spans = repeated_spans(keys.select("doc_id", "text", "th"), min_len).groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    spans = materialize(spans, "spans").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "spans")
-    found = keys.join(spans.hint("merge"), keys["doc_id"].eqNullSafe(F.col("__d")) & (keys["th"] == F.col("__t")), "left").select(*names, "spans")
+    found = _with_spans(keys, min_bytes, min_words).select(*names, "spans")
 
     def run(batches):
         for batch in sliced(batches, 256):
-            texts = batch.column(text).to_pylist()
-            kept = [t if not s else cut_text(t, covered([(x["first"], x["last"]) for x in s], min_len)) for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+            texts, spans = batch.column(text).to_pylist(), batch.column("spans").to_pylist()
+            kept = [t if not s else _without(t, s, min_bytes, min_words) for t, s in zip(texts, spans, strict=True)]
             cols = {c: batch.column(c) for c in names} | {text: pa.array(kept, pa.string())}
             if "n_chars" in own.names:
                 i = names[own.names.index("n_chars")]
-                cols[i] = pa.array([len(a) if b else c for a, b, c in zip(kept, batch.column("spans").to_pylist(), cols[i].to_pylist(), strict=True)], cols[i].type)
+                cols[i] = pa.array([len(a) if b else c for a, b, c in zip(kept, spans, cols[i].to_pylist(), strict=True)], cols[i].type)
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], own.names)
 
     return found.mapInArrow(run, own)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, classifier, language, mixing, ngram_join, quality_rules, suffix_dedup, token_counts, topk
+from docloom.llm import bpe, chat, classifier, common, language, mixing, ngram_join, quality_rules, suffix_dedup, token_counts, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(None, None, "en", None, None), (1, "", "en", "s", 0), (2, "word " * 3000, None, "s", 1), (2, "word " * 3000, "fr", "s", 1), (3, "É\x00 ß <|endoftext|> x", "de", None, 5), (None, "tie", "en", "t", 3)]
@@ -133,6 +133,78 @@ def test_suffix_dedup(spark, odd, empty, length, alphabet):
     assert suffix_dedup.remove(odd).count() == len(ODD) and suffix_dedup.remove(empty).count() == 0
 
 
+def test_suffix_dedup_at_400_bytes(spark):
+    """The production threshold: passages of 399 to 401 bytes and more, edits inside, runs of one letter, copies in thousands."""
+    random.seed(400)
+
+    def passage(n):
+        return "".join(random.choice("abcdefghijklm nopqrstuvwxyz ") for _ in range(n))
+
+    texts = ["z" * 399, "y" * 400, "x" * 401, "x" * 402, "é" * 300]
+    for n in (398, 399, 400, 401, 402, 700, 5000):
+        p = passage(n)
+        texts += [passage(300) + p + passage(200), p + passage(900), passage(10) + p]
+    p = passage(3000)
+    texts += [p[:i] + "#" + p[i:] for i in range(0, 3000, 350)] + [p[1000:1900] + passage(50) + p[:450]] + [passage(600)] * 300
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 400)
+
+
+def brute_passages(rows, length):
+    """Runs of words that windows of so many words, standing in another document as well, cover."""
+    words = [WORD.findall(t or "") for _, t in rows]
+    where = collections.defaultdict(set)
+    for row, w in zip(rows, words, strict=True):
+        for i in range(len(w) - length + 1):
+            where[tuple(w[i : i + length])].add(row)
+    out = []
+    for w in words:
+        hit = {j for i in range(len(w) - length + 1) if len(where[tuple(w[i : i + length])]) > 1 for j in range(i, i + length)}
+        out.append((sum(j - 1 not in hit for j in hit), len(hit), [x for j, x in enumerate(w) if j not in hit]))
+    return out
+
+
+@pytest.mark.parametrize(("length", "size"), [(7, 4), (51, 5000)])
+def test_passages_of_words(spark, odd, empty, length, size):
+    random.seed(length)
+
+    def passage(n):
+        return [f"é{random.randint(0, size)}" for _ in range(n)]
+
+    base = [passage(random.randint(0, 5 * length)) for _ in range(12)]
+    shared = [passage(n) for n in (length - 1, length, length + 1, 3 * length)]
+    texts = [None, "", "w " * 9 * length, " ".join(base[0]), " ".join(base[0])]
+    for i in range(70):
+        a, b = list(random.choice(base)), random.choice(base)
+        for p in random.sample(shared, i % 3):
+            j = random.randint(0, len(a))
+            a[j:j] = p * random.choice([1, 1, 2])
+        j = random.randint(0, len(a))
+        texts.append(random.choice([" ", "\n", " \t"]).join(a[:j] + passage(i % 2) + b[random.randint(0, len(b)) :]))
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(3, texts[3]), (5000, texts[7])] + [(6, texts[6])] * 2
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
+
+    def key(r):
+        return tuple(-1 if x is None else x for x in r)
+
+    got = sorted(((r.doc_id, r.n_bytes, r.n_passages, r.n_passage_words) for r in suffix_dedup.remove(docs, min_words=length).collect()), key=key)
+    want = brute_passages(rows, length)
+    assert got == sorted(((d, len((t or "").encode()), n, m) for (d, t), (n, m, _) in zip(rows, want, strict=True)), key=key)
+    left = sorted((key((r.doc_id, *WORD.findall(r.text or ""))) for r in suffix_dedup.strip(docs, None, length).collect()), key=str)
+    assert left == sorted((key((d, *w)) for (d, _), (_, _, w) in zip(rows, want, strict=True)), key=str)
+    assert suffix_dedup.strip(odd, None, length).columns == odd.columns and suffix_dedup.strip(empty, None, length).count() == 0
+
+
+def test_hashes_of_words():
+    text = ("é" * 3 + " \t" + "ab\n" * 700_000 + "x" * 3_000_000 + " " + "y" * 200_000 + "z").encode()
+    starts, ends, h = common.hashed_words(text)
+    assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == text.split() and len(set(h.tolist())) == len(set(text.split()))
+    texts = [b"", b" ", text, b"ab", b"\xc3\xa9\xc3\xa9\xc3\xa9 q"]
+    got = common.word_hashes_of(texts)
+    assert [len(x) for x in got] == [len(t.split()) for t in texts] and (got[2] == h).all() and got[3][0] == h[1] and got[4][0] == h[0]
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), [float(x) for x in rng.normal(size=16)]) for i in range(700)]
