@@ -27,8 +27,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that stand anywhere else."""
-    return suffix_dedup.strip(docs)
+    """Texts without passages of over 50 words that stand in another document."""
+    return suffix_dedup.strip(docs, min_bytes=None, min_words=suffix_dedup.MIN_WORDS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
