@@ -7,9 +7,9 @@ document's vector is the mean of its words' context vectors and of its words'
 shape vectors. A network with one hidden layer scores it; a temperature fitted
 on rows kept out of training calibrates the probability.
 
-Training takes at most ``SAMPLE_DOCS`` labelled documents, ``SAMPLE_CHARS``
-characters of each. Scoring reads whole texts. The vocabulary has
-``BUCKETS`` hash buckets, so the model's size is fixed.
+Training takes at most ``SAMPLE_DOCS`` labelled rows. Training and scoring read
+whole texts. The vocabulary has ``BUCKETS`` hash buckets, so the model's size is
+fixed.
 
 Defined results: a text without words, or null, gets the score of the mean
 vector 0; every row gets a row; without labels of both classes the score is
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from .common import pieces, schema, text_of
 from .quality_rules import labelled_sample
 
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 3000
+SAMPLE_DOCS = 3000
 BUCKETS, SHAPES, DIM, NONZERO, HIDDEN, CONTEXT = 1 << 15, 1 << 11, 96, 6, 24, 2
 TWIN = BUCKETS + SHAPES
 THRESHOLD = 0.3
@@ -152,8 +152,8 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 60, rate: float =
     return Model(parts, theta[1] - mean @ layer, theta[2], float(theta[3][0]), float(temperatures[int(np.argmin(loss))]))
 
 
-def train(docs: DataFrame, labels: DataFrame, use, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    sample = labelled_sample(docs, labels, sample_docs, sample_chars, use)
+def train(docs: DataFrame, labels: DataFrame, use, sample_docs: int = SAMPLE_DOCS) -> Model:
+    sample = labelled_sample(docs, labels, sample_docs, use)
     return fit([t.encode() for t, _ in sample], np.array([q for _, q in sample]))
 
 

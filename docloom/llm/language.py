@@ -1,11 +1,12 @@
 """Language identification by compression.
 
 A raw-content zstandard dictionary is made for each language from a bounded
-sample of labelled documents: at most ``SAMPLE_DOCS`` documents of a language,
-``SLICE`` characters of each, ``DICT_BYTES`` in all. A text is cut into blocks,
-each block is compressed once with each dictionary, and the language with the
-smallest sum wins. A text is rejected if its winner leads by less than
-``MIN_MARGIN`` of the runner-up's size, or if it has no letter (``und``).
+sample of labelled rows: ``SLICES`` slices of ``SLICE`` characters, drawn by a
+hash from all slices of whole documents, so that every part of a text is as
+likely as any other. A text is cut into blocks of one length, each block is
+compressed with each dictionary by two match finders, whose errors differ, and the language with the smallest sum wins. A
+text is rejected if its winner leads by less than ``MIN_MARGIN`` of the
+runner-up's size, or if it has no letter (``und``).
 
 Defined results: null or letterless texts get ``und`` and score 0, and are
 rejected; of equal sums the first language in code-point order wins, with
@@ -26,18 +27,18 @@ from pyspark.sql.window import Window
 
 from .common import begin, pieces, schema, sliced, text_of
 
-SAMPLE_DOCS, SLICE, DICT_BYTES, BLOCK, SHORT, MIN_MARGIN = 96, 1200, 96 << 10, 2048, 600, 0.002
+SLICES, SLICE, BLOCK, MIN_MARGIN = 96, 1200, 2048, 0.002
 BATCH_BYTES = 1 << 20
 _LETTER, _NO_LETTERS = regex.compile(r"\p{L}"), re.compile(r"[\W\d_]+")
 
 
-def dictionaries(docs: DataFrame, use: Callable[[Column], Column], sample_docs: int = SAMPLE_DOCS, slice_chars: int = SLICE, size: int = DICT_BYTES) -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, use: Callable[[Column], Column], slices: int = SLICES, slice_chars: int = SLICE) -> dict[str, bytes]:
     """Raw content for each language, from documents for whose id ``use`` holds and whose lang isn't null.
 
-    Documents are taken in the order of a hash of id and text. Those far down
-    the order are left out before any is moved: a hash over a bound that four
-    times the sample is expected to stay under. A language that this leaves
-    with too few documents is small, and all of its documents count.
+    Documents far down the order of a hash of id and text are left out before any text is cut: a hash over a bound
+    that four times as many documents as there are slices are expected to stay under. A language that this would
+    leave with too few documents is small, and all of its documents count. The slices of what is left are drawn by
+    a hash of their own.
     """
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("lang")).filter(F.col("lang").isNotNull() & use(F.col("doc_id")) & (F.length(F.trim("text")) > 0))
     counts = {r["lang"]: r["n"] for r in docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & use(F.col("doc_id"))).groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
@@ -46,13 +47,14 @@ def dictionaries(docs: DataFrame, use: Callable[[Column], Column], sample_docs:
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     bound = F.lit(1.0)
     for lang, n in counts.items():
-        if n > 8 * sample_docs:
-            bound = F.when(F.col("lang") == lang, F.lit(4.0 * sample_docs / n)).otherwise(bound)
-    rows = rows.withColumn("h", h).filter(F.col("h") <= bound).select("lang", "h", "doc_id", F.substring("text", 1, slice_chars).alias("text"))
-    best = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).filter(F.col("k") <= sample_docs)
+        if n > 8 * slices:
+            bound = F.when(F.col("lang") == lang, F.lit(4.0 * slices / n)).otherwise(bound)
+    cut = rows.filter(h <= bound).select("lang", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{slice_chars}}}"), F.lit(0))).alias("at", "slice"))
+    cut = cut.withColumn("h", F.xxhash64("doc_id", "at", "slice"))
+    best = cut.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "at", "slice"))).filter(F.col("k") <= slices)
     out: dict[str, bytes] = {}
-    for r in best.orderBy("lang", F.col("k").desc()).collect():
-        out[r["lang"]] = (out.get(r["lang"], b"") + plain(r["text"]))[-size:]
+    for r in best.orderBy("lang", "k").collect():  # ``slices`` of each language at most
+        out[r["lang"]] = out.get(r["lang"], b"") + plain(r["slice"])
     return out
 
 
@@ -72,24 +74,20 @@ class Identifier:
         self.langs, self.block = sorted(content), block
         common = {"window_log": 18, "hash_log": 17, "min_match": 4, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         quick = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_DFAST, chain_log=16, search_log=1, **common)
-        lazy = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, chain_log=17, search_log=4, **common)
+        lazy = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, chain_log=16, search_log=2, **common)
 
         def compressor(lang: str, params):
             raw = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(compression_params=params)
             return zstandard.ZstdCompressor(dict_data=raw, compression_params=params).compress
 
-        self.quick = [compressor(x, quick) for x in self.langs]
-        self.lazy = [compressor(x, lazy) for x in self.langs]
+        self.compressors = [(compressor(x, quick), compressor(x, lazy)) for x in self.langs]
 
     def sizes(self, text: str) -> list[int]:
-        """Compressed bytes by language. Of short texts every byte counts, so they are compressed twice, whole and in halves."""
+        """Compressed bytes by language, by both match finders together."""
         b = plain(text)
-        if len(b) > SHORT:
-            blocks = [b[i : i + self.block] for i in range(0, len(b), self.block)]
-            return [sum([len(f(x)) for x in blocks]) for f in self.quick]
-        blocks = [b, b[: len(b) // 2], b[len(b) // 2 :]]
-        return [sum([len(f(x)) + len(g(x)) for x in blocks]) for f, g in zip(self.quick, self.lazy, strict=True)]
+        blocks = [b[i : i + self.block] for i in range(0, len(b), self.block)]
+        return [sum([len(f(x)) + len(g(x)) for x in blocks]) for f, g in self.compressors]
 
     def predict(self, text: str) -> tuple[str, float, float]:
         """Language, score from 0 to 1, margin as a part of the runner-up's size."""

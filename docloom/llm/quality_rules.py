@@ -7,9 +7,10 @@ boilerplate, and the share of words in content lines decides whether the
 document stays.
 
 The field is trained by maximum likelihood (forward-backward, Adam) on a
-bounded sample of labelled documents: at most ``SAMPLE_DOCS`` of them, the
-first ``SAMPLE_CHARS`` characters of each, whose lines all bear the document's
-own quality label. Without labels, ``prior_model`` is used.
+bounded sample of labelled rows: at most ``SAMPLE_DOCS`` whole documents, whose
+lines all bear the document's own quality label. A document's lines form one
+sequence of whatever length; sequences of like length are trained together, and
+each step sees all of them. Without labels, ``prior_model`` is used.
 
 Defined results: a null text has no words and fails the base rules; every row
 gets a row, repeated ones too; an empty table gives none; only doc_id and text
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import pieces, schema, text_of
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT_SHARE = 8, 20, 30, 0.5
-SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS = 1500, 6000, 150
+SAMPLE_DOCS, EPOCHS = 1500, 150
 BATCH_BYTES = 1 << 20
 _SPACES = b" \t\n\x0b\x0c\r"
 _NOT_LEADING = _SPACES + bytes(range(0x80, 0xC0))
@@ -136,35 +137,63 @@ def viterbi(unary: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return out
 
 
+def _batches(sequences: list[np.ndarray], labels: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Padded features, labels and masks of sequences of like length: between two powers of 2."""
+    out = []
+    sizes = np.array([int(len(s) - 1).bit_length() for s in sequences])
+    for k in np.unique(sizes):
+        some = np.flatnonzero(sizes == k)
+        longest = max(len(sequences[i]) for i in some)
+        x, y, mask = np.zeros((len(some), longest, FEATURES)), np.zeros((len(some), longest), int), np.zeros((len(some), longest), bool)
+        for at, i in enumerate(some):
+            n = len(sequences[i])
+            x[at, :n], y[at, :n], mask[at, :n] = sequences[i], labels[i], True
+        out.append((x, y, mask))
+    return out
+
+
+def _log_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    high = np.maximum(a, b)
+    return high + np.log1p(np.exp(-np.abs(a - b)))
+
+
+def _chain(u: np.ndarray, m: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log sums over all label sequences up to (alpha) and from (beta) each place. ``u``: scores by place, sequence and label."""
+    alpha, beta = np.zeros(u.shape), np.zeros(u.shape)
+    alpha[0] = u[0]
+    for i in range(1, len(u)):
+        step = _log_sum(alpha[i - 1, :, :1] + m[0], alpha[i - 1, :, 1:] + m[1]) + u[i]
+        alpha[i] = np.where(mask[i, :, None], step, alpha[i - 1])
+    for i in range(len(u) - 2, -1, -1):
+        v = u[i + 1] + beta[i + 1]
+        beta[i] = np.where(mask[i + 1, :, None], _log_sum(v[:, :1] + m[:, 0], v[:, 1:] + m[:, 1]), 0.0)
+    return alpha, beta
+
+
 def fit(sequences: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, l2: float = 1e-3, rate: float = 0.1) -> Model:
-    """Maximum likelihood over whole sequences, all at once: forward-backward on padded arrays, steps by Adam."""
+    """Maximum likelihood over whole sequences: forward-backward on padded arrays, steps by Adam."""
     if not sequences:
         return prior_model()
-    size, longest = len(sequences), max(map(len, sequences))
-    x, y, mask = np.zeros((size, longest, FEATURES)), np.zeros((size, longest), int), np.zeros((size, longest), bool)
-    for i, (s, t) in enumerate(zip(sequences, labels, strict=True)):
-        x[i, : len(s)], y[i, : len(s)], mask[i, : len(s)] = s, t, True
-    both = mask[:, 1:] & mask[:, :-1]
-    want_w = np.stack([(x * (mask & (y == k))[..., None]).sum((0, 1)) for k in (0, 1)], 1)
-    want_m = np.array([[(both & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
-    theta, first, second, total = np.zeros(FEATURES * 2 + 4), 0.0, 0.0, mask.sum()
-    add = np.logaddexp.reduce
+    batches, want, total = [], np.zeros(FEATURES * 2 + 4), 0
+    for x, y, mask in _batches(sequences, labels):
+        both = mask[:, 1:] & mask[:, :-1]
+        want[:-4] += np.stack([(x * (mask & (y == k))[..., None]).sum((0, 1)) for k in (0, 1)], 1).ravel()
+        want[-4:] += [(both & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() for i in (0, 1) for j in (0, 1)]
+        total += mask.sum()
+        batches.append((x, np.ascontiguousarray(mask.T), both))
+    theta, first, second = np.zeros(FEATURES * 2 + 4), 0.0, 0.0
     for t in range(1, epochs + 1):
         w, m = theta[:-4].reshape(FEATURES, 2), theta[-4:].reshape(2, 2)
-        u = x @ w
-        alpha, beta = np.zeros((size, longest, 2)), np.zeros((size, longest, 2))
-        alpha[:, 0] = u[:, 0]
-        for i in range(1, longest):
-            step = add(alpha[:, i - 1, :, None] + m, axis=1) + u[:, i]
-            alpha[:, i] = np.where(mask[:, i, None], step, alpha[:, i - 1])
-        for i in range(longest - 2, -1, -1):
-            step = add(m + (u[:, i + 1] + beta[:, i + 1])[:, None, :], axis=2)
-            beta[:, i] = np.where(mask[:, i + 1, None], step, 0.0)
-        z = add(alpha[:, -1], axis=1)
-        p = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
-        q = np.exp(alpha[:, :-1, :, None] + m + (u[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[..., None, None]
-        got = np.concatenate([np.einsum("stf,stk->fk", x, p).ravel(), q.sum((0, 1)).ravel()])
-        g = (np.concatenate([want_w.ravel(), want_m.ravel()]) - got) / total - l2 * theta
+        got = np.zeros(len(theta))
+        for x, mask, both in batches:
+            u = np.ascontiguousarray((x @ w).transpose(1, 0, 2))
+            alpha, beta = _chain(u, m, mask)
+            z = _log_sum(alpha[-1, :, 0], alpha[-1, :, 1])
+            p = np.exp(alpha + beta - z[:, None]) * mask[..., None]
+            q = np.exp(alpha[:-1, :, :, None] + m + (u[1:] + beta[1:])[:, :, None, :] - z[:, None, None]) * both.T[..., None, None]
+            got[:-4] += (x.reshape(-1, FEATURES).T @ p.transpose(1, 0, 2).reshape(-1, 2)).ravel()
+            got[-4:] += q.sum((0, 1)).ravel()
+        g = (want - got) / total - l2 * theta
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         theta = theta + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     return Model(theta[:-4].reshape(FEATURES, 2).copy(), theta[-4:].reshape(2, 2).copy())
@@ -175,26 +204,25 @@ def _lines(text: bytes) -> tuple[list[bytes], np.ndarray]:
     return lines, np.array([len(x.split()) for x in lines], float)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, chars: int, use=None) -> list[tuple[str, int]]:
-    """At most ``most`` labelled texts (their first ``chars`` characters) with their quality, chosen by a hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, use=None) -> list[tuple[str, int]]:
+    """At most ``most`` labelled rows, chosen by a hash of the id: whole texts with their quality. Ids repeated among documents give twice as many at most."""
     rows = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     rows = rows if use is None else rows.filter(use(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
     # The limit bounds this broadcast: ``most`` rows of two numbers.
-    found = text_of(docs).join(F.broadcast(rows), "doc_id").select("doc_id", F.substring("text", 1, chars).alias("text"), "quality")
+    found = text_of(docs).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "quality")
     found = found.orderBy("doc_id", "text").limit(2 * most).toPandas()
     return list(zip(found["text"].tolist(), found["quality"].tolist(), strict=True))
 
 
-def train(docs: DataFrame, labels: DataFrame | None, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def train(docs: DataFrame, labels: DataFrame | None, sample_docs: int = SAMPLE_DOCS) -> Model:
     if labels is None:
         return prior_model()
     sequences, marks = [], []
-    for text, quality in labelled_sample(docs, labels, sample_docs, sample_chars):
+    for text, quality in labelled_sample(docs, labels, sample_docs):
         lines, counts = _lines(text.encode())
         if lines:
-            # Long runs of lines would only pad the others out; at most 64 lines of a document train the field.
-            sequences.append(features(lines, counts)[:64])
+            sequences.append(features(lines, counts))
             marks.append(np.full(len(sequences[-1]), 0 if quality else 1))
     if len({int(m[0]) for m in marks}) < 2:
         return prior_model()
