@@ -59,19 +59,40 @@ def test_mixing(spark, odd, empty):
 def test_bpe(spark, odd, empty):
     random.seed(1)
     texts = ["".join(random.choice(["the ", "É", "don't ", "\n", "<|endoftext|>", "x.", "１", "…", "Σ", "  ", "İ", "é"]) for _ in range(random.randint(0, 400))) for _ in range(60)]
-    texts += ["a" * 5000, "shared passage " * 200, "x " + "shared passage " * 200, "", "　  "]
+    passage = " ".join(f"shared{random.randint(0, 999)} passage" for _ in range(600))
+    texts += ["a" * 5000, "a b " + "c" * 5000, "shared passage " * 200, *[f"{i} {passage} {i}" for i in range(9)], "", "\u3000  "]
     e = bpe.Encoder(bpe.vocabulary())
     for text, (ids, decoded) in zip(texts, e.encode_all(texts), strict=True):
         want = e.tokenizer.encode(text, add_special_tokens=False).ids
         assert list(np.frombuffer(ids, "<u4")) == want and decoded.decode() == e.tokenizer.decode(want, skip_special_tokens=False)
-        assert "".join(bpe.parts(text)) == text
-    assert e.reused > e.encoded
+        assert "".join(bpe.chunks(text)) == text
+    assert e.reused > e.encoded and e.repaired and not e.widened
+    with pytest.raises(ValueError, match="beyond white space"):
+        bpe.encode(odd, bpe.vocabulary("byte_bpe_50k.json"))
     rows = bpe.encode(odd).collect()
     assert len(rows) == len(ODD) and all(len(r.ids) == r.n_tokens for r in rows)
     assert {r.ids_sha256 for r in rows if r.n_tokens == 0} == {hashlib.sha256(b"").hexdigest()}
     assert bpe.encode(empty).count() == 0
 
 
+def test_bpe_joins(monkeypatch):
+    """Cuts at every few characters, in words, marks, special tokens and between a letter and its accent."""
+    random.seed(9)
+    for least in (1, 5, 40):
+        monkeypatch.setattr(bpe, "cuts", lambda text, n=least: [*range(n, len(text), n), len(text)])
+        e = bpe.Encoder(bpe.vocabulary())
+        texts = ["".join(random.choice(["the", "E\u0301", "don't ", "\n", "<|endoftext|>", "THING", "ing", "x.", "12", "…", "Σ", " ", " ", "e\u0301"]) for _ in range(random.randint(0, 150))) for _ in range(80)]
+        for text, (ids, decoded) in zip(texts, e.encode_all(texts), strict=True):
+            want = e.tokenizer.encode(text, add_special_tokens=False).ids
+            assert list(np.frombuffer(ids, "<u4")) == want and decoded.decode() == e.tokenizer.decode(want, skip_special_tokens=False)
+        assert e.repaired
+    # Chunks that don't agree with their join are encoded together, then with the whole text.
+    e = bpe.Encoder(bpe.vocabulary())
+    plain = e.chunk
+    monkeypatch.setattr(e, "chunk", lambda x: plain(x)._replace(before=b"no"))
+    assert [np.frombuffer(i, "<u4").tolist() for i, _ in e.encode_all(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts] and e.widened
+
+
 def test_viterbi_and_repeats():
     rng = np.random.default_rng(0)
     for _ in range(50):
