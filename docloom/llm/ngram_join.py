@@ -28,12 +28,13 @@ Defined results: only A-Z are lower-cased; texts without words (or null) have
 the empty set, 0 shingles, and are their own component; with under 5 words the
 whole sequence is one shingle; the component is the smallest doc_id, ids that
 are null don't count (a component without ids has null); every row gets a row.
-Only doc_id and text are read. Two different sets get one hash of 64 bits with
-a probability of pairs / 2**64.
+Only doc_id and text are read. Sets are compared by digests of 128 bits, of
+which 64 name a set; different sets of one name are given other names.
 """
 
 from __future__ import annotations
 
+import math
 import tempfile
 from functools import cache
 
@@ -103,10 +104,19 @@ def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def set_id(s: np.ndarray) -> int:
+def set_ids(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Both halves of a set's digest of 128 bits. The first names the set, the second tells apart two sets of one name. ``bits``: of the name, fewer in tests."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else 0
+    if not len(s):
+        return 0, 0
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist()
+    return (a if bits == 64 else a % (1 << bits) + 1), b
+
+
+def other_id(first: int, second: int) -> int:
+    """The name of a set whose first name another set has, too."""
+    return int(mix64(np.array([(first * 3 + second) % (1 << 64)], np.uint64)).view(np.int64)[0])
 
 
 def prefix(n: int, percent: int = PERCENT) -> int:
@@ -136,14 +146,15 @@ def _witness(s: np.ndarray, bound: np.uint64, reach: int) -> np.ndarray:
     return s[int(np.searchsorted(s, bound)) :] if SMALL < len(s) <= reach else s[:0]
 
 
-def _profile(batches, out, counted: float, k: int):
-    """A row for each document: its set's id and size, and how many of its tokens are counted first."""
+def _profile(batches, out, counted: float, k: int, bits: int):
+    """A row for each document: its set's two ids and size, and how many of its tokens are counted first."""
     begin("n-gram join", _powers.cache_clear)
     bound = _bound(counted)
     for rows in pieces(batches, BATCH_BYTES, "doc_id", "th", "text"):
         sets = shingle_sets([r[2].encode() for r in rows], k)
-        cols = [[r[0] for r in rows], [r[1] for r in rows], [set_id(s) for s in sets], [len(s) for s in sets], [len(_counted(s, bound)) for s in sets]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], out.names)
+        ids = [set_ids(s, bits) for s in sets]
+        cols = [[r[0] for r in rows], [r[1] for r in rows], [i for i, _ in ids], [i for _, i in ids], [len(s) for s in sets], [len(_counted(s, bound)) for s in sets]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32()] * 2, strict=True)], out.names)
 
 
 def _binned(ids: list[int], toks: list[np.ndarray], bins: int, names: list[str]) -> pa.RecordBatch:
@@ -165,14 +176,15 @@ def _binned(ids: list[int], toks: list[np.ndarray], bins: int, names: list[str])
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names)
 
 
-def _post_texts(batches, out, counted: float, k: int, bins: int, percent: int):
+def _post_texts(batches, out, counted: float, k: int, bins: int, percent: int, bits: int):
     """The tokens that are counted first, and those of witnesses; a set that stands in a task again is left out."""
     begin("n-gram join", _powers.cache_clear)
     bound, reach, seen = _bound(counted), _reach(percent), set()
-    for rows in pieces(batches, BATCH_BYTES, "text"):
+    for rows in pieces(batches, BATCH_BYTES, "odd", "text"):
         toks, ids = [], []
-        for s in shingle_sets([r[0].encode() for r in rows], k):
-            if len(s) and (i := set_id(s)) not in seen:
+        for (odd, _), s in zip(rows, shingle_sets([r[1].encode() for r in rows], k), strict=True):
+            pair = set_ids(s, bits)
+            if len(s) and (i := other_id(*pair) if odd else pair[0]) not in seen:
                 if len(seen) < 1_000_000:
                     seen.add(i)
                 toks.append(_counted(s, bound))
@@ -362,7 +374,7 @@ def _placed(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(main.filter("comps > 1").drop("comps"), "token")
 
 
-def links(docs: DataFrame, profile: DataFrame, k: int, percent: int, counted: float) -> DataFrame | None:
+def links(docs: DataFrame, profile: DataFrame, k: int, percent: int, counted: float, bits: int = 64) -> DataFrame | None:
     """Stars (a, b) over the ids of sets: every set in a component of two or more, with the component's least id."""
     spark = docs.sparkSession
     classes = materialize(profile.filter("n > 0").groupBy("rid").agg(F.min("n").alias("n"), F.min("k").alias("k"), F.min(F.struct("doc_id", "th")).alias("rep")), "classes")
@@ -373,7 +385,7 @@ def links(docs: DataFrame, profile: DataFrame, k: int, percent: int, counted: fl
         return max(partitions(spark), -(-int(postings or 0) // BIN_ROWS))
 
     n = bins(classes.agg(F.sum(F.when(F.col("n") <= _reach(percent), F.col("n")).otherwise(F.col("k")))).first()[0])
-    posted = docs.select("text").mapInArrow(lambda b: _post_texts(b, binned, counted, k, n, percent), binned).repartition(n, "bin")
+    posted = docs.select("odd", "text").mapInArrow(lambda b: _post_texts(b, binned, counted, k, n, percent, bits), binned).repartition(n, "bin")
     packed, c = schema("bin int, ids binary, sizes binary, toks binary, dfs binary"), schema("rid long, shared long")
     counts = posted.mapInArrow(lambda b: _shared(b, packed, False, n), packed).select("bin", "ids", "sizes").repartition(n, "bin").mapInArrow(lambda b: _sums(b, c), c)
     left = classes.join(counts.hint("merge"), "rid", "left").filter(F.col("k") - F.coalesce("shared", F.lit(0)) < need)
@@ -426,21 +438,28 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Of two such rows one isn't in the list's largest component. So for each
     component that is the largest of some lists, the strays of these lists are
     compared with all rows of these lists, in blocks of a bounded number of
-    tokens: no row is made for a pair, only for two blocks and for a link.
+    tokens: no row is made for a pair, only for two blocks and for a link. Blocks
+    hold sets of like size, and meet only where the length filter lets them; two
+    strays are compared once.
     """
     out = schema("a long, b long")
     rows = members.select(F.col("main").alias("c"), "rid", "n", "comp", (F.col("comp") != F.col("main")).alias("stray")).distinct()
     rows = materialize(rows, "strays")
 
+    # Sets whose sizes differ by a factor of 100 / percent at most are in the same class or in neighbouring ones.
+    size = F.floor(F.log("n") / F.lit(math.log(100.1 / percent))).cast("int")
+
     def blocks(x: DataFrame, tokens: int, name: str) -> DataFrame:
-        count = x.groupBy("c").agg(F.ceil(F.sum("n") / F.lit(tokens)).alias("blocks"))
-        y = x.join(count, "c").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+        x = x.withColumn("size", size)
+        count = x.groupBy("c", "size").agg(F.ceil(F.sum("n") / F.lit(tokens)).alias("blocks"))
+        y = x.join(count, ["c", "size"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
         y = y.join(sets.select("rid", "set"), "rid")
-        return y.groupBy("c", "block").agg(F.collect_list(F.struct("rid", "comp", "set")).alias(name)).drop("block")
+        return y.groupBy("c", "size", "block").agg(F.collect_list(F.struct("rid", "comp", "set")).alias(name)).drop("block")
 
     one = materialize(blocks(rows.filter("stray"), BLOCK_TOKENS // 4, "x"), "stray-blocks")
     two = materialize(blocks(rows, BLOCK_TOKENS, "y"), "blocks")
-    return one.join(two, "c").select("x", "y").mapInArrow(lambda b: _compare(b, out, percent), out)
+    one = one.withColumn("size", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)))
+    return one.join(two, ["c", "size"]).select("c", "x", "y").mapInArrow(lambda b: _compare(b, out, percent), out)
 
 
 def _compare(batches, out, percent: int):
@@ -452,6 +471,7 @@ def _compare(batches, out, percent: int):
             tok, owner = np.concatenate(y), np.repeat(np.arange(len(y)), sizes)
             order = np.argsort(tok, kind="stable")
             tok, owner = tok[order], owner[order]
+            main = comps == r["c"]
             a, b = [], []
             for v in r["x"]:
                 x = np.frombuffer(v["set"], np.uint64)
@@ -462,19 +482,40 @@ def _compare(batches, out, percent: int):
                     n = high - low
                     where = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
                     common += np.bincount(owner[where], minlength=len(y))
-                hit = (100 * common >= percent * (len(x) + sizes - common)) & (comps != v["comp"])
+                hit = (100 * common >= percent * (len(x) + sizes - common)) & (comps != v["comp"]) & (main | (ids > v["rid"]))
                 b += ids[hit].tolist()
                 a += [v["rid"]] * int(hit.sum())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], out.names)
 
 
-def _found(docs: DataFrame, k: int, percent: int, counted: float | None) -> DataFrame:
+def _named(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``odd``, and the profile, with other ids for sets that share their first id with a different set."""
+    twice = profile.filter("n > 0").groupBy("rid").agg(F.min("alt").alias("lo"), F.max("alt").alias("hi")).filter("lo <> hi")
+    twice = materialize(twice.select("rid", "lo"), "twice")
+    if twice.isEmpty():  # as good as always: some 70 sets of 5e10
+        return docs.withColumn("odd", F.lit(False)), profile.drop("alt")
+    marked = profile.join(twice, "rid", "left").withColumn("odd", (F.col("n") > 0) & F.coalesce(F.col("alt") != F.col("lo"), F.lit(False)))
+    out = schema("doc_id long, th long, rid long, n int, k int, odd boolean")
+
+    def renamed(batches):
+        for batch in batches:
+            rid = [other_id(r, a) if o else r for r, a, o in zip(*(batch.column(c).to_pylist() for c in ("rid", "alt", "odd")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(rid, pa.int64()), batch.column("n"), batch.column("k"), batch.column("odd")], out.names)
+
+    marked = materialize(marked.select("doc_id", "th", "rid", "alt", "n", "k", "odd").mapInArrow(renamed, out), "renamed")
+    odd = materialize(marked.filter("odd").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct(), "odd")
+    docs = docs.join(odd.withColumn("odd", F.lit(True)), docs["doc_id"].eqNullSafe(F.col("__d")) & (docs["th"] == F.col("__t")), "left")
+    return docs.withColumn("odd", F.coalesce("odd", F.lit(False))).drop("__d", "__t"), marked.drop("odd")
+
+
+def _found(docs: DataFrame, k: int, percent: int, counted: float | None, bits: int = 64) -> DataFrame:
     """doc_id, th, n, comp (the component's own number, null without words) and component_id of each row."""
     docs = keyed(docs)
     counted = max(COUNTED, 1 - percent / 100 + 0.11) if counted is None else counted
-    m = schema("doc_id long, th long, rid long, n int, k int")
-    profile = materialize(docs.mapInArrow(lambda b: _profile(b, m, counted, k), m), "profile")
-    star = links(docs, profile, k, percent, counted)
+    m = schema("doc_id long, th long, rid long, alt long, n int, k int")
+    profile = materialize(docs.mapInArrow(lambda b: _profile(b, m, counted, k, bits), m), "profile")
+    docs, profile = _named(docs, profile)
+    star = links(docs, profile, k, percent, counted, bits)
     classes = profile.filter("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least"))
     classes = classes.join(star.select(F.col("a").alias("rid"), F.col("b").alias("label")), "rid", "left").withColumn("comp", F.coalesce("label", "rid"))
     comps = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -484,9 +525,9 @@ def _found(docs: DataFrame, k: int, percent: int, counted: float | None) -> Data
     return out.select("doc_id", "th", "n", "comp", component.alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, counted: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, counted: float | None = None, bits: int = 64) -> DataFrame:
     """doc_id, th (a hash of the text), n_shingles and component_id of each row of a documents table."""
-    return _found(docs, k, percent, counted).select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return _found(docs, k, percent, counted, bits).select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
