@@ -47,7 +47,7 @@ from .common import begin, byte_table, keyed, materialize, mix64, partitions, pi
 from .components import stars
 
 WORDS, PERCENT, COUNTED, SMALL, FEW, PIVOTS, ROUNDS, PARTS = 5, 75, 0.36, 64, 5, 5, 6, 16
-BIN_ROWS, BATCH_BYTES, BLOCK_TOKENS = 1_000_000, 1 << 20, 1 << 17
+BIN_ROWS, BATCH_BYTES, BLOCK_TOKENS = 400_000, 1 << 19, 1 << 17
 WITNESS = 0  # the id of the empty set, which has no tokens, in postings that aren't counted for their set
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -215,7 +215,7 @@ def _merge(values: np.ndarray, counts: np.ndarray, new: np.ndarray) -> tuple[np.
     return out, np.bincount(at, np.concatenate([counts, c])).astype(np.int64)
 
 
-def _shared(batches, out, tokens: bool, bins: int, flush: int = 500_000):
+def _shared(batches, out, tokens: bool, bins: int, flush: int = 200_000):
     """Of a bin's postings, those with a token that two sets or more have, packed for the sets' own bins.
 
     A row has ids of sets with their numbers of such tokens, and if wanted the
@@ -224,7 +224,7 @@ def _shared(batches, out, tokens: bool, bins: int, flush: int = 500_000):
     documents takes no more than any other.
     """
     values, counts, held, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-    with tempfile.SpooledTemporaryFile(max_size=32 << 20) as spool:
+    with tempfile.SpooledTemporaryFile(max_size=8 << 20) as spool:
         for batch in batches:
             for toks, ids, sizes in zip(*(batch.column(c).to_pylist() for c in ("toks", "ids", "sizes")), strict=True):
                 spool.write(np.array([len(toks), len(ids), len(sizes)], np.int64).tobytes() + toks + ids + sizes)

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import begin, byte_table, discard, hashed_words, kept, keyed, materialize, schema, sliced, sweep, temporary, window_hashes, word_hashes_of
 
-MIN_BYTES, MIN_WORDS, GROUP, BLOCK = 400, 51, 16, 1 << 20
+MIN_BYTES, MIN_WORDS, GROUP, BLOCK = 400, 51, 16, 1 << 18
 BYTES, WORDS = 0, 1  # kinds of symbols
 WIDTH = (1, 8)  # bytes of a symbol, by kind
 _RANK = "r1 long, r2 long"
@@ -123,7 +123,7 @@ def _symbols(texts: list[bytes], kind: int) -> tuple[list[np.ndarray], list[byte
 
 def _anchors(batches, least: dict[int, int], out):
     begin("suffix dedup")
-    for batch in sliced(batches, 512):
+    for batch in sliced(batches, 128):
         ids, ths, texts = batch.column("doc_id"), batch.column("th"), batch.column("text").cast(pa.binary()).to_pylist()
         for kind, min_len in least.items():
             w = WIDTH[kind]
