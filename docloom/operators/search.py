@@ -44,11 +44,12 @@ def _equals(word: str):
     return lambda t: t == word
 
 
-def relevance(df: DataFrame, node: Node) -> DataFrame:
+def relevance(df: DataFrame, node: Node, flat: bool = False) -> DataFrame:
     """Add ``score``: for each word that matches, sqrt(tf) idf**2 / sqrt(tokens), times the part of clauses that match.
 
     Clauses without a word to weigh count 1 each. Frequencies come from one
-    aggregate over all rows, one row wide, joined as literals.
+    aggregate over all rows, one row wide, joined as literals. ``flat``: the rows
+    are flattened documents (id, s, n, d), whose fields may have several texts.
     """
     leaves: list[Node] = []
 
@@ -60,15 +61,20 @@ def relevance(df: DataFrame, node: Node) -> DataFrame:
             leaves.append(n)
 
     walk(node)
-    fields = TypedFields(df.schema)
+    fields = MapFields() if flat else TypedFields(df.schema)
+
+    def words_of(field: str) -> Column:
+        if flat:
+            return F.coalesce(F.flatten(F.transform(F.col("s")[field], tokens)), F.array().cast("array<string>"))
+        return tokens(F.col(f"`{field if field in df.columns else field.removeprefix(':')}`"))
+
     hits = [F.coalesce(compile_node(n, fields), F.lit(False)) for n in leaves]
     counts = df.agg(F.count("*").alias("n"), *[F.count_if(h).alias(f"df{i}") for i, h in enumerate(hits)]).first()
     parts: list[Column] = []
     for i, (leaf, hit) in enumerate(zip(leaves, hits, strict=True)):
         weight = F.lit(1.0)
         if isinstance(leaf, HasWord):
-            col = F.col(f"`{leaf.field if leaf.field in df.columns else leaf.field.removeprefix(':')}`")
-            words = tokens(col)
+            words = words_of(leaf.field)
             tf = F.size(F.filter(words, _equals(leaf.word)))
             idf = F.lit(1.0) + F.log(F.lit(counts["n"]) / F.lit(counts[f"df{i}"] + 1.0))
             weight = F.sqrt(tf.cast("double")) * idf * idf / F.sqrt(F.greatest(F.size(words), F.lit(1)).cast("double"))

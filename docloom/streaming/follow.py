@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import changelog, indexes, rates
-from ..operators.indexes import IndexDef
+from ..operators.indexes import Catalog, IndexDef
 from ..sources.store import LOG
 
 
@@ -23,8 +23,8 @@ def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return writer.start()
 
 
-def follow_index(spark: SparkSession, log_path: str, index: IndexDef, out: str, checkpoint: str, continuous: bool = False) -> StreamingQuery:
-    """Keep an index up to date.
+def follow_index(spark: SparkSession, log_path: str, index: IndexDef, out: str, checkpoint: str, continuous: bool = False, state: Catalog | None = None) -> StreamingQuery:
+    """Keep an index up to date; with ``state`` its position is stored there, and nothing is done once it has failed there.
 
     Each batch writes what changed to a directory of its own, so a batch that
     runs again replaces its own rows and nothing else; ``read_index`` takes the
@@ -33,11 +33,15 @@ def follow_index(spark: SparkSession, log_path: str, index: IndexDef, out: str,
     """
 
     def each(batch: DataFrame, number: int) -> None:
+        if state is not None and state.is_failed(index.id):
+            return
         last = changelog.latest(batch, "id", "seq")
         docs = last.filter("not deleted").withColumn("doc", F.parse_json("doc"))
         built = indexes.build(docs, index, "id")
         rows = last.select("id", "seq").join(built.withColumn("present", F.lit(True)), "id", "left")
         rows.withColumn("present", F.coalesce("present", F.lit(False))).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if state is not None:
+            state.advance(index.id, batch.agg(F.max("seq")).first()[0] or 0)
 
     return _run(read_log(spark, log_path), each, checkpoint, continuous)
 
