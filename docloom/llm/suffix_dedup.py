@@ -226,12 +226,17 @@ def repeated_spans(docs: DataFrame, min_bytes: int | None = MIN_BYTES, min_words
     shared = materialize(anchors.join(twice, "g", "left_semi"), "shared")
     discard(anchors, twice)
     sweep(docs.sparkSession)
+    span = "doc_id", "th", "kind", "first"
+    if shared.isEmpty():
+        return shared.select(*span, F.col("first").alias("last"))
     rank = ["r1", "r2", "g"]
     whole = _repeated(shared, rank, "first", "n", "at")
     names = ["doc_id", "th", "kind", "first", "n", "at", "g"]
     ranked = materialize(shared.join(whole.select(*rank, F.lit(True).alias("settled")), rank, "left").select(*names, F.coalesce("settled", F.lit(False)).alias("settled")), "ranked")
     settled = ranked.filter("settled").select("doc_id", "th", "kind", "first", (F.col("first") + F.col("n")).alias("last"))
     open_runs = ranked.filter("not settled").drop("settled")
+    if open_runs.isEmpty():
+        return settled
     # Copies of each whole stretch stand for its settled runs among those still open: they are partners, too.
     todo = open_runs.unionByName(_partners(whole, open_runs, ["g"], names))
     by_doc = materialize(todo.groupBy("doc_id", "th").agg(F.collect_list(F.struct("kind", "first", "n", "at", "g")).alias("runs")), "open")
@@ -258,6 +263,8 @@ def repeated_spans(docs: DataFrame, min_bytes: int | None = MIN_BYTES, min_words
     settled_groups = ranked.filter("settled").select("doc_id", "th", "kind", (first - F.col("far")).alias("first"), (first - F.col("near")).alias("last"))
     # Copies of each settled group take part in the last round, as partners of windows in groups that aren't settled.
     unsettled = ranked.filter("not settled").select(*names)
+    if unsettled.isEmpty():
+        return settled.unionByName(settled_groups)
     rest = unsettled.unionByName(_partners(united, unsettled, ["g", "c"], names)).groupBy("doc_id", "th", "kind", "first").agg(F.collect_list(F.struct("far", "near")).alias("groups"))
     rest = rest.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("kind").alias("k"), F.col("first").alias("f"), "groups")
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("kind") == F.col("k")) & (F.col("first") == F.col("f"))

@@ -150,8 +150,9 @@ def test_suffix_dedup(spark, odd, empty, length, alphabet):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, length)
     left = {r.doc_id: r.text for r in suffix_dedup.strip(docs, length).collect()}
     assert all(left[i] == t for i, t in enumerate(texts) if not got[i][1])
-    assert suffix_dedup.strip(odd, length).columns == odd.columns
-    assert suffix_dedup.remove(odd).count() == len(ODD) and suffix_dedup.remove(empty).count() == 0
+    if length == 8:
+        assert suffix_dedup.strip(odd, length).columns == odd.columns
+        assert suffix_dedup.remove(odd).count() == len(ODD) and suffix_dedup.remove(empty).count() == 0
 
 
 def test_suffix_dedup_at_400_bytes(spark):
@@ -214,7 +215,8 @@ def test_passages_of_words(spark, odd, empty, length, size):
     assert got == sorted(((d, len((t or "").encode()), n, m) for (d, t), (n, m, _) in zip(rows, want, strict=True)), key=key)
     left = sorted((key((r.doc_id, *WORD.findall(r.text or ""))) for r in suffix_dedup.strip(docs, None, length).collect()), key=str)
     assert left == sorted((key((d, *w)) for (d, _), (_, _, w) in zip(rows, want, strict=True)), key=str)
-    assert suffix_dedup.strip(odd, None, length).columns == odd.columns and suffix_dedup.strip(empty, None, length).count() == 0
+    if length == 7:
+        assert suffix_dedup.strip(odd, None, length).columns == odd.columns and suffix_dedup.strip(empty, None, length).count() == 0
 
 
 def test_hashes_of_words():
