@@ -51,6 +51,8 @@ _simple("lte", "part", "(<= :p_size 5)", "p_size <= 5")
 _simple("gte", "part", "(>= :p_size 45)", "p_size >= 45")
 _simple("gt_float", "customer", "(> :c_acctbal 9000)", "c_acctbal > 9000")
 _simple("type_strict", "part", '(= :p_size "11")', "false")
+_simple("type_strict_mixed", "part", '(or (= :p_size "11") (= :p_name "small ring") (= :p_name 11))', "p_name = 'small ring'")
+_simple("stop_words_mixed", "documents", '(or (has-word "text" "the") (has-word "text" "thing"))', f"list_contains({_tok('text')}, 'thing')", "doc_id, lang, source")
 _simple("starts_with_token", "part", '(starts-with :p_name "wid")', f"len(list_filter({_tok('p_name')}, lambda t: starts_with(t, 'wid'))) > 0")
 _simple("has_word", "part", '(has-word :p_name "ring")', f"list_contains({_tok('p_name')}, 'ring')")
 _simple("has_word_docs", "documents", '(has-word "text" "thing")', f"list_contains({_tok('text')}, 'thing')", "doc_id, lang, source")
@@ -168,6 +170,50 @@ def change_feed(spark: SparkSession, d: str) -> DataFrame:
     return changelog.feed(_log(spark, d), 5000).select("id", "seq", "event_type", "deleted")
 
 
+@_query("SELECT user_id AS id, min(event_id) AS seq FROM events WHERE event_id > 5000 GROUP BY user_id ORDER BY seq LIMIT 20")
+def changelog_page(spark: SparkSession, d: str) -> DataFrame:
+    return changelog.after(_log(spark, d), 5000, limit=20)
+
+
+@_query(f"WITH l AS (SELECT {_LOG} FROM events) SELECT id, seq, event_type, deleted FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS k FROM l WHERE seq > 5000) WHERE k = 1 ORDER BY seq LIMIT 20")
+def change_feed_page(spark: SparkSession, d: str) -> DataFrame:
+    return changelog.feed(_log(spark, d), 5000, limit=20).select("id", "seq", "event_type", "deleted")
+
+
+_BY_TYPE = IndexDef.of("by_type", {"type": "variant_get(doc, '$.type', 'string')"}, "variant_get(doc, '$.type', 'string') <> 'view'")
+_BY_TYPE_SQL = f"WITH l AS (SELECT {_LOG} FROM events) SELECT id, event_type AS type FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS k FROM l) WHERE k = 1 AND NOT deleted AND event_type <> 'view'"
+
+
+def _changes(spark: SparkSession, d: str, after: int, until: int | None = None) -> DataFrame:
+    """What one pass over the log sees: the last version of each id between two positions."""
+    log = _log(spark, d).filter(F.col("seq") > after)
+    rows = changelog.latest(log if until is None else log.filter(F.col("seq") <= until), "id", "seq")
+    return rows.withColumn("doc", F.parse_json(F.to_json(F.struct(F.col("event_type").alias("type")))))
+
+
+@_query(_BY_TYPE_SQL)
+def index_passes(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of a stored index after three passes over the log."""
+    passes = [indexes.sql_entries(_changes(spark, d, *span), _BY_TYPE) for span in ((0, 3000), (3000, 6000), (6000,))]
+    found = indexes.current_entries(passes[0].unionByName(passes[1]).unionByName(passes[2]))
+    return found.select("id", F.col("s")["type"][0].alias("type"))
+
+
+@_query(_BY_TYPE_SQL)
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """An index's rows after changed ids lost their old ones and got new ones."""
+    before, changed = _changes(spark, d, 0, 6000), _changes(spark, d, 6000)
+    old, new = (indexes.build(x.filter("not deleted"), _BY_TYPE, "id") for x in (before, changed))
+    return indexes.upsert(old, changed, new)
+
+
+@_query("SELECT index_id, count(*) AS total, count(*) FILTER (value < low) AS errors, count(*) FILTER (NOT value < low) AS indexed FROM events, (VALUES ('a', 10), ('b', 50)) AS i(index_id, low) GROUP BY index_id")
+def index_pass_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of one pass of two indexes over the same documents."""
+    defs = spark.createDataFrame([("a", 10), ("b", 50)], "index_id string, low int")
+    return indexes.pass_stats(_table(spark, d, "events"), defs, F.col("value") < F.col("low"))
+
+
 @_query(
     "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 100 <> 0 AND o_orderkey % 200 <> 0 "
     "UNION ALL SELECT o_orderkey, 'X' FROM orders WHERE o_orderkey % 200 = 0"
