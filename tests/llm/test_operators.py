@@ -228,6 +228,25 @@ def test_hashes_of_words():
     assert [len(x) for x in got] == [len(t.split()) for t in texts] and (got[2] == h).all() and got[3][0] == h[1] and got[4][0] == h[0]
 
 
+@pytest.mark.parametrize(("high", "spread"), [(3, 1), (300, 40), (2**29, 1), (2**40, 3)])
+def test_maxscore_over_shards(high, spread):
+    """Thresholds carried from shard to shard lose nothing, at ties, with numbers of any size and in any order of shards."""
+    rng = np.random.default_rng(high % 97)
+    x = (rng.integers(-high, high + 1, (700, 24)) // rng.integers(1, spread + 1, 24)).astype(np.int64)
+    x[500:560], ids = x[7], np.arange(700)
+    for order in (ids, ids[::-1], rng.permutation(ids)):
+        best, found = [[] for _ in range(14)], []
+        for at in range(0, 700, 90):
+            some = order[at : at + 90]
+            found += topk.maxscore((ids[::50], x[::50]), (some, x[some]), 5, best, step=4)
+        for q in range(0, 700, 50):
+            true = [(-sum(int(a) * int(b) for a, b in zip(x[q], x[c], strict=True)), c) for c in range(700) if c != q]
+            assert sorted((-s, c) for a, c, s in found if a == q)[:5] == sorted(true)[:5]
+            assert best[q // 50] == [-s for s, _ in sorted(true)[:5]]
+    short = topk.maxscore((ids[:1], x[:1]), (ids[:3], x[:3]), 5)
+    assert len(short) == 2
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), [float(x) for x in rng.normal(size=16)]) for i in range(700)]
