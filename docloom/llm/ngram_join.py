@@ -374,10 +374,9 @@ def _placed(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(main.filter("comps > 1").drop("comps"), "token")
 
 
-def links(docs: DataFrame, profile: DataFrame, k: int, percent: int, counted: float, bits: int = 64) -> DataFrame | None:
+def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, counted: float, bits: int = 64) -> DataFrame | None:
     """Stars (a, b) over the ids of sets: every set in a component of two or more, with the component's least id."""
     spark = docs.sparkSession
-    classes = materialize(profile.filter("n > 0").groupBy("rid").agg(F.min("n").alias("n"), F.min("k").alias("k"), F.min(F.struct("doc_id", "th")).alias("rep")), "classes")
     need = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     binned = schema("bin int, toks binary, ids binary, sizes binary")
 
@@ -488,12 +487,19 @@ def _compare(batches, out, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], out.names)
 
 
-def _named(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``odd``, and the profile, with other ids for sets that share their first id with a different set."""
-    twice = profile.filter("n > 0").groupBy("rid").agg(F.min("alt").alias("lo"), F.max("alt").alias("hi")).filter("lo <> hi")
-    twice = materialize(twice.select("rid", "lo"), "twice")
-    if twice.isEmpty():  # as good as always: some 70 sets of 5e10
-        return docs.withColumn("odd", F.lit(False)), profile.drop("alt")
+def _classes(profile: DataFrame, *more) -> DataFrame:
+    """A row for each set: its sizes, one document that has it, and the least id (null only if it has no other)."""
+    sizes = F.min("n").alias("n"), F.min("k").alias("k")
+    return materialize(profile.filter("n > 0").groupBy("rid").agg(*sizes, F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), *more), "classes")
+
+
+def _named(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs`` with ``odd``, the profile and the classes, with other ids for sets that share their first id with a different set."""
+    classes = _classes(profile, F.min("alt").alias("lo"), F.max("alt").alias("hi"))
+    twice = classes.filter("lo <> hi").select("rid", "lo")
+    if twice.count() == 0:  # as good as always: some 70 sets of 5e10
+        return docs.withColumn("odd", F.lit(False)), profile.drop("alt"), classes
+    twice = materialize(twice, "twice")
     marked = profile.join(twice, "rid", "left").withColumn("odd", (F.col("n") > 0) & F.coalesce(F.col("alt") != F.col("lo"), F.lit(False)))
     out = schema("doc_id long, th long, rid long, n int, k int, odd boolean")
 
@@ -505,7 +511,7 @@ def _named(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = materialize(marked.select("doc_id", "th", "rid", "alt", "n", "k", "odd").mapInArrow(renamed, out), "renamed")
     odd = materialize(marked.filter("odd").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct(), "odd")
     docs = docs.join(odd.withColumn("odd", F.lit(True)), docs["doc_id"].eqNullSafe(F.col("__d")) & (docs["th"] == F.col("__t")), "left")
-    return docs.withColumn("odd", F.coalesce("odd", F.lit(False))).drop("__d", "__t"), marked.drop("odd")
+    return docs.withColumn("odd", F.coalesce("odd", F.lit(False))).drop("__d", "__t"), marked.drop("odd"), _classes(marked)
 
 
 def _found(docs: DataFrame, k: int, percent: int, counted: float | None, bits: int = 64) -> DataFrame:
@@ -514,10 +520,9 @@ def _found(docs: DataFrame, k: int, percent: int, counted: float | None, bits: i
     counted = max(COUNTED, 1 - percent / 100 + 0.11) if counted is None else counted
     m = schema("doc_id long, th long, rid long, alt long, n int, k int")
     profile = materialize(docs.mapInArrow(lambda b: _profile(b, m, counted, k, bits), m), "profile")
-    docs, profile = _named(docs, profile)
-    star = links(docs, profile, k, percent, counted, bits)
-    classes = profile.filter("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(star.select(F.col("a").alias("rid"), F.col("b").alias("label")), "rid", "left").withColumn("comp", F.coalesce("label", "rid"))
+    docs, profile, classes = _named(docs, profile)
+    star = links(docs, classes, k, percent, counted, bits)
+    classes = classes.select("rid", "least").join(star.select(F.col("a").alias("rid"), F.col("b").alias("label")), "rid", "left").withColumn("comp", F.coalesce("label", "rid"))
     comps = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     classes = materialize(classes.join(comps, "comp").select(F.col("rid").alias("r"), "comp", "component_id"), "components")
     out = profile.join(classes, (F.col("rid") == F.col("r")) & (F.col("n") > 0), "left")
